@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import minhash, quality
 from .common import cut, table
 
 
@@ -18,5 +18,13 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(featured, "q", quality.references(featured, "q")).select("doc_id", "q.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality_divergence": op1_quality_divergence}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates: 4-word shingles, similarity 0.8 or more, of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_divergence": op1_quality_divergence,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+}
 ORACLES: dict[str, str] = {}
