@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, quality, secrets, topk, urls
+from . import chat, minhash, mixing, packing, quality, secrets, topk, urls
 from .common import cut, table
 
 
@@ -18,6 +18,19 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(featured, "q", quality.references(featured, "q")).select("doc_id", "q.*")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token pieces with their places in sequences of 1024 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every hundredth vector."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
@@ -35,6 +48,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(trial)))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    taken = mixing.copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by pattern and entropy."""
     return secrets.digest(table(spark, sf_dir, "documents"))
@@ -56,8 +75,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_chat_format": op5_chat_format,
+    "op6_mix_sources": op6_mix_sources,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
