@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, packing, quality, secrets, topk, urls
+from . import chat, chunks, line_dedup, minhash, mixing, packing, quality, secrets, topk, urls
 from .common import cut, table
 
 
@@ -18,6 +18,11 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(featured, "q", quality.references(featured, "q")).select("doc_id", "q.*")
 
 
+def op2_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later repeated runs of lines."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
+
+
 def tokenizer_path() -> str:
     """The public byte-level BPE vocabulary."""
     import public_tokenizers
@@ -54,6 +59,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document that documents of smaller id hold too."""
+    return chunks.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by pattern and entropy."""
     return secrets.digest(table(spark, sf_dir, "documents"))
@@ -75,15 +85,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
+    "op2_winnow_lines": op2_winnow_lines,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_chat_format": op5_chat_format,
     "op6_mix_sources": op6_mix_sources,
+    "op7_chunk_dedup": op7_chunk_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op2_winnow_lines": line_dedup.SQL,
     "op4_exact_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bytewright.llm import quality
-from bytewright.llm.common import table
+from bytewright.llm import line_dedup, minhash, mixing, packing, quality
+from bytewright.llm.common import cut, table
+from bytewright.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +15,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs).drop("n_removed")
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return minhash.keep_one(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents appear as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents and their places in sequences."""
+    return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_runs),
+    ("MinHash near-dedup", near_copies),
+    ("mixing sources to target weights", source_mix),
+    ("best-fit packing", packed),
+]
+#: Random rounding and tokenization have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each stage's rows kept in the shared checkpoint folder for the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
