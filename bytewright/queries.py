@@ -22,7 +22,10 @@ ORACLES: dict[str, str] = {}
 
 #: Byte rows and contexts in SQL.
 _HEX = "with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), "
-_BYTES = _HEX + "y as (select doc_id, i as pos, ('0x' || substr(h, 2 * i::int + 1, 2))::int as b from d, lateral unnest(range(length(h) // 2)) t(i)) "
+_BYTES = _HEX + (
+    "v as (select doc_id, regexp_extract_all(h, '..') as p from d), u as (select doc_id, unnest(p) as p, generate_subscripts(p, 1) - 1 as pos from v), "
+    "y as (select doc_id, pos, ('0x' || p)::int as b from u) "
+)
 _CONTEXT = (
     _BYTES + ", x as (select *, coalesce(lag(b, 1) over w, 0) as c1, coalesce(lag(b, 2) over w, 0) as c2, coalesce(lag(b, 3) over w, 0) as c3 from y "
     "window w as (partition by doc_id order by pos)) "
@@ -157,12 +160,12 @@ def block_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("with " + _CATALOG + "select file_no, case when length(file_name) > 10 then left(file_name, 7) || '...' else file_name end as name, replace(format('{:,}', file_size), ',', ' ') as size, "
-       "replace(format('{:,}', block_size), ',', ' ') as block_size, replace(format('{:,}', block_count), ',', ' ') as blocks, coder, model, round(file_size / 1000.0, 2)::double as ratio from c")
+       "replace(format('{:,}', block_size), ',', ' ') as block_size, replace(format('{:,}', block_count), ',', ' ') as blocks, coder, model, round(file_size / 1024.0, 2)::double as ratio from c")
 def archive_listing_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _catalog(spark, sf_dir)
     return c.select(
         "file_no", S.ellipsis(F.col("file_name"), 10).alias("name"), S.thousands(F.col("file_size")).alias("size"), S.thousands(F.col("block_size")).alias("block_size"),
-        S.thousands(F.col("block_count")).alias("blocks"), "coder", "model", F.round(S.ratio(F.col("file_size"), F.lit(1000)), 2).alias("ratio"),
+        S.thousands(F.col("block_count")).alias("blocks"), "coder", "model", F.round(S.ratio(F.col("file_size"), F.lit(1024)), 2).alias("ratio"),
     )
 
 
