@@ -93,17 +93,16 @@ def _runs(least: int):
         for batch in batches:
             out = []
             for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                run = None
-                for c in found:
+                run: list[int] = []
+                owned: dict[int, int] = {}
+                for c in [*found, {"start": -1, "extent": 0, "first": 0}]:
                     end, words = c["start"] + (c["extent"] >> 32), c["extent"] & 0xFFFFFFFF
-                    if run and run[1] == c["start"]:
-                        run[1], run[2], run[3] = end, run[2] + words, run[3] + 1
-                        continue
-                    if run and run[2] >= least:
-                        out.append((doc, *run))
-                    run = [c["start"], end, words, 1, c["first"]]
-                if run and run[2] >= least:
-                    out.append((doc, *run))
+                    if run and run[1] != c["start"]:
+                        if run[2] >= least:
+                            out.append((doc, *run, min(owned, key=lambda d: (-owned[d], d))))
+                        run, owned = [], {}
+                    run = [run[0], end, run[2] + words, run[3] + 1] if run else [c["start"], end, words, 1]
+                    owned[c["first"]] = owned.get(c["first"], 0) + words
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [()] * 6)], names)
 
     return rows
@@ -112,7 +111,7 @@ def _runs(least: int):
 def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, end, n_words, n_chunks, first_doc_id)`` of every run of chunks that earlier documents hold.
 
-    Places are code points, the end exclusive; ``first_doc_id`` is the document that keeps the run's first chunk.
+    Places are code points, the end exclusive; ``first_doc_id`` is the document that keeps most of the run's words.
     """
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
     chunks = source.mapInArrow(_chunk_rows, "digest bigint, doc_id bigint, start bigint, extent bigint")
