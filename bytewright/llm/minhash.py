@@ -7,8 +7,8 @@
    Pairs are compared signature batch by signature batch and dropped once the posterior probability that their
    similarity reaches the threshold is below ``MISS``. Survivors are confirmed on full shingle sets.
 3. Rest round: a bucket whose members are still in several components is compared in blocks, members outside its
-   largest component against all, skipping pairs already connected. Nothing but survivors leaves a block; they are
-   confirmed on full sets too. So no candidate pair of different components is left out, and no bucket is capped.
+   largest component against all, skipping pairs already connected; survivors are confirmed on full sets there and then,
+   and nothing but links leaves a block. So no candidate pair of different components is left out, and no bucket is capped.
 4. Components of the confirmed links, by stars over the edge list.
 
 A link is missed only if no band matches (for similarity 0.8: 3e-6, less above) or by the posterior bound (1e-6).
@@ -136,26 +136,40 @@ def _sequential(bounds: list[tuple[int, int]]):
     return rows
 
 
-def _blocks(bounds: list[tuple[int, int]]):
-    """Survivors of blocks, whose rows come sorted by block: those outside the bucket's largest component against all."""
-
-    def block(ids: np.ndarray, comp: np.ndarray, out: np.ndarray, band: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.flatnonzero(out), np.flatnonzero(~out)
-        us, vs = [], []
-        step = max(1, 16384 // max(1, len(y)))
-        for k in range(0, len(x), step):
-            i, j = (g.ravel() for g in np.meshgrid(x[k : k + step], y, indexing="ij"))
-            go = comp[i] != comp[j]
-            i, j = i[go], j[go]
-            keep = _survivors(bounds, sig[i], sig[j])
-            i, j = i[keep], j[keep]
-            if len(i):  # each pair counts in the first band that it shares
-                shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(2).argmax(1)
-                go = shared == band[0]
-                us.append(ids[i[go]])
-                vs.append(ids[j[go]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *us]), np.concatenate([none, *vs])
+def _shared_with(one: np.ndarray, flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with some of the sets that ``offsets`` cut ``flat`` into."""
+    sizes = offsets[which + 1] - offsets[which]
+    edges = np.cumsum(sizes) - sizes
+    at = np.repeat(offsets[which] - edges, sizes) + np.arange(sizes.sum())
+    x = flat[at]
+    hit = one[np.minimum(np.searchsorted(one, x), len(one) - 1)] == x
+    return np.add.reduceat(hit, edges, dtype=np.int64)
+
+
+def _blocks(bounds: list[tuple[int, int]], percent: int):
+    """Confirmed links of blocks, whose rows come sorted by block: rows outside the bucket's largest component against all.
+
+    A link joins its two components within the block, so a block yields fewer links than it has rows.
+    """
+
+    def block(ids: np.ndarray, comp: np.ndarray, out: np.ndarray, band: int, sig: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        root = np.unique(comp, return_inverse=True)[1]
+        inside, links = np.flatnonzero(~out), []
+        for x in np.flatnonzero(out):
+            y = inside[root[inside] != root[x]]
+            y = y[_survivors(bounds, np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])]
+            if len(y):  # each pair counts in the first band that it shares
+                y = y[(sig[x] == sig[y]).reshape(len(y), BANDS, ROWS).all(2).argmax(1) == band]
+            for at in range(0, len(y), 512):
+                some = y[at : at + 512]
+                mine = flat[offsets[x] : offsets[x + 1]]
+                shared = _shared_with(mine, flat, offsets, some)
+                union = len(mine) + offsets[some + 1] - offsets[some] - shared
+                for z in some[100 * shared >= percent * union]:
+                    if root[z] != root[x]:
+                        links.append((ids[x], ids[z]))
+                        root[root == root[z]] = root[x]
+        return links
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -174,10 +188,13 @@ def _blocks(bounds: list[tuple[int, int]]):
                 return
             ids, comp, out = (t.column(c).to_numpy() for c in ("id", "comp", "outside"))
             band, sig = t.column("band").to_numpy(), _sigs(t.column("sig").slice(0, int(cuts[whole])))
+            sets = t.column("set").combine_chunks()
+            flat, offsets, found = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy(), []
             for s, e in zip(cuts[:whole], cuts[1 : whole + 1], strict=True):
-                u, v = block(ids[s:e], comp[s:e], out[s:e], band[s:e], sig[s:e])
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                found += block(ids[s:e], comp[s:e], out[s:e], band[s], sig[s:e], flat, offsets[s : e + 1])
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
             held.append(batch)
@@ -187,12 +204,18 @@ def _blocks(bounds: list[tuple[int, int]]):
     return rows
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs ``(u, v)`` of doc_ids, those whose full shingle sets reach the threshold."""
-    ids = cut(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct())
+def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(id, set)`` of the documents with these ``doc_id``: their sorted shingle hashes, from their whole texts."""
+    ids = cut(ids.distinct())
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_set_rows(width), "id bigint, set array<bigint>"))
+    return texts.mapInArrow(_set_rows(width), "id bigint, set array<bigint>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs ``(u, v)`` of doc_ids, those whose full shingle sets reach the threshold."""
+    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
+    sets = cut(_sets(ids, docs, width))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u")
     both = both.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
     shared = F.size(F.array_intersect("su", "sv"))
@@ -206,10 +229,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     schema = "doc_id bigint, n_shingles bigint, digest binary, sig binary, bands array<bigint>"
     rows = cut(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_digest_rows(width), schema))
 
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = rows.filter("digest is not null and doc_id is not null").join(classes.withColumnRenamed("digest", "d"), [F.col("doc_id") == F.col("rep"), F.col("digest") == F.col("d")], "left_semi")
-    reps = reps.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("id"), "sig", "bands")
-    nodes = cut(reps)
+    reps = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r"))
+    nodes = cut(reps.select("digest", F.col("r.doc_id").alias("id"), "r.sig", "r.bands"))
     members = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
 
     heads = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id")).alias("m"))
@@ -226,19 +247,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
     largest = largest.filter("comps > 1").select("bucket", F.col("top.comp").alias("top"), F.col("n").alias("n_all"), (F.col("n") - F.col("top.n")).alias("n_out"))
-    open_ = placed.join(largest, "bucket").join(sig, "id")
+    open_ = cut(placed.join(largest, "bucket"))
     left = F.ceil(F.col("n_out") / LEFT).cast("int")
     right = F.ceil(F.col("n_all") / RIGHT).cast("int")
     seat = F.xxhash64(F.lit(7), "id")
     sides = open_.withColumn("outside", F.lit(False)).withColumn("i", F.explode(F.sequence(F.lit(0), left - 1))).withColumn("j", F.pmod(seat, right).cast("int"))
     outs = open_.filter("comp != top").withColumn("outside", F.lit(True)).withColumn("j", F.explode(F.sequence(F.lit(0), right - 1))).withColumn("i", F.pmod(seat, left).cast("int"))
-    blocks = sides.unionByName(outs).select(F.xxhash64("bucket", "band", "i", "j").alias("block"), "band", "id", "comp", "outside", "sig")
-    dealt = blocks.repartition("block").sortWithinPartitions("block", "outside")
-    rest = cut(dealt.mapInArrow(_blocks(bounds), "u bigint, v bigint").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    more = _confirmed(rest, docs, width, percent)
+    seats = sides.unionByName(outs).select(F.xxhash64("bucket", "band", "i", "j").alias("block"), "band", "id", "comp", "outside")
+    known = cut(_sets(open_.select(F.col("id").alias("doc_id")), docs, width)).join(sig, "id")
+    dealt = seats.join(known, "id").repartition("block").sortWithinPartitions("block", "outside")
+    more = dealt.mapInArrow(_blocks(bounds, percent), "u bigint, v bigint")
     tied = components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
-    found = classes.join(tied, classes["rep"] == tied["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    found = nodes.select("digest", F.col("id").alias("rep")).join(tied.withColumnRenamed("id", "rep"), "rep", "left")
+    found = found.select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
