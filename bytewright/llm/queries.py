@@ -105,4 +105,17 @@ k as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from k where rank <= 10
 """,
     "op5_chat_format": chat.SQL,
+    "op9_url_filter": urls.sql(URL_RULES),
+    "op10_minhash_near_dedup": """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as a from documents),
+s as (select distinct doc_id, unnest(case when len(a) = 0 then []::varchar[] when len(a) < 4 then [array_to_string(a, ' ')]
+  else list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select u, v from i join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select u, v from l union all select v, u from l),
+r as (select doc_id, doc_id as other from documents union select r.doc_id, e.v from r join e on r.other = e.u)
+select r.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id, r.doc_id = min(other) as kept
+from r left join n on n.doc_id = r.doc_id group by r.doc_id
+""",
 }

@@ -87,3 +87,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], strict: tuple[str
             yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
 
     return pages.withColumn("judged", judged(pages["url"]))
+
+
+def sql(rules: list[tuple[str, str, str]]) -> str:
+    """``judge`` with the default vocabulary as DuckDB SQL."""
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+
+    def found(term: str) -> str:
+        return f"regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])')::int"
+
+    strict, soft = " + ".join(map(found, STRICT)), list(SOFT.items())
+    return f"""
+with rules(verdict, rule_host, rule_path) as (values {values}),
+a as (select page_id, coalesce(url, '') as url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+b as (select *, regexp_extract(rest, '^[^/?#]*') as h, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as u from a),
+c as (select *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from b),
+r as (select page_id, rule_host || rule_path as rule, verdict, row_number() over (partition by page_id order by length(rule_host || rule_path) desc, length(rule_host) desc, rule_host || rule_path desc, verdict desc) as k
+  from c join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)),
+t as (select *, {strict} as strict, {" + ".join(found(x) for x, _ in soft)} as softs, {" + ".join(f"{n} * {found(x)}" for x, n in soft)} as weight from c)
+select page_id, host, path, rule, coalesce(verdict, case when strict > 0 or (softs > 1 and weight >= {SOFT_LIMIT}) then 'block' else 'allow' end) as verdict
+from t left join (select page_id, rule, verdict from r where k = 1) using (page_id)
+"""
