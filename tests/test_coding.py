@@ -66,7 +66,7 @@ def test_size_near_ideal():
 
 
 def test_cut_payload_is_an_error():
-    data = bytes(random.Random(2).randrange(256) for _ in range(500))
+    data = random.Random(2).randbytes(500)
     with pytest.raises(codec.CorruptError):
         codec.FileCodec("O0").decode(codec.FileCodec("O0").encode(data)[:100], 500)
 
