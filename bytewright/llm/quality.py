@@ -117,8 +117,8 @@ def _common_counts(words: Column, lang: Column) -> Column:
     return out.otherwise(counts(POOLED))
 
 
-def features(docs: DataFrame, into: str, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with a struct column ``into``: the base counts, both histograms and the base verdict."""
+def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> Column:
+    """A struct over the columns of ``docs``: the base counts, both histograms and the base verdict."""
     t = F.coalesce(docs[text], F.lit(""))
     language = _language(docs[lang])
 
@@ -152,7 +152,12 @@ def features(docs: DataFrame, into: str, text: str = "text", lang: str = "lang")
         F.length(t).cast("bigint").alias("chars"),
         _dup_lines(t).alias("n_dup_lines"),
     )
-    return docs.withColumn(into, let(parts, whole))
+    return let(parts, whole)
+
+
+def features(docs: DataFrame, into: str) -> DataFrame:
+    """``docs`` with the struct column ``into``."""
+    return docs.withColumn(into, measured(docs))
 
 
 def _shares(counts: Column) -> Column:
@@ -162,13 +167,14 @@ def _shares(counts: Column) -> Column:
 def references(featured: DataFrame, column: str) -> dict[str, tuple[list[float], list[float]]]:
     """By language the mean class and common-word shares of the documents that pass the base rules.
 
-    At most ``len(COMMON_WORDS) + 1`` rows come to the driver.
+    At most ``len(COMMON_WORDS) + 2`` rows come to the driver; one of them is of those that fail. They aren't filtered out
+    before, as Spark would push the filter down and compute the features for it once more.
     """
     n_class, n_word = len(CLASSES) + 3, len(POOLED) + 1
-    f = featured.select(featured[column].alias("f")).filter(~F.col("f.base_failed"))
-    f = f.select(F.col("f.language").alias("language"), _shares(F.col("f.classes")).alias("c"), _shares(F.col("f.common")).alias("w"))
+    f = featured.select(featured[column].alias("f"))
+    f = f.select(F.when(~F.col("f.base_failed"), F.col("f.language")).alias("language"), _shares(F.col("f.classes")).alias("c"), _shares(F.col("f.common")).alias("w"))
     rows = f.groupBy("language").agg(*[F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(n_class)], *[F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(n_word)]).collect()
-    return {r["language"]: ([r[f"c{i}"] for i in range(n_class)], [r[f"w{i}"] for i in range(n_word)]) for r in rows}
+    return {r["language"]: ([r[f"c{i}"] for i in range(n_class)], [r[f"w{i}"] for i in range(n_word)]) for r in rows if r["language"] is not None}
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -181,9 +187,8 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def verdicts(featured: DataFrame, column: str, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """``featured`` with the struct ``column`` replaced by one that also has the distances and ``kept``."""
-    f = featured[column]
+def verdict(f: Column, refs: dict[str, tuple[list[float], list[float]]]) -> Column:
+    """The counts of a measured struct with the distances and ``kept``."""
 
     def pick(i: int) -> Column:
         none = F.lit(None).cast("array<double>")
@@ -194,12 +199,19 @@ def verdicts(featured: DataFrame, column: str, refs: dict[str, tuple[list[float]
     slack = NOISE / F.sqrt(F.greatest(f["n_words"], F.lit(1)).cast("double"))
     odd = (classes > MAX_CLASS_DISTANCE + slack / 4) | ((f["n_words"] >= MIN_WORDS_FOR_COMMON) & (common > MAX_WORD_DISTANCE + slack))
     fields = [f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return featured.withColumn(column, F.struct(*fields, classes.alias("class_distance"), common.alias("word_distance"), (~f["base_failed"] & ~odd).alias("kept")))
+    return F.struct(*fields, classes.alias("class_distance"), common.alias("word_distance"), (~f["base_failed"] & ~odd).alias("kept"))
+
+
+def verdicts(featured: DataFrame, column: str, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+    """``featured`` with the struct ``column`` replaced by its verdict."""
+    return featured.withColumn(column, verdict(featured[column], refs))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns. Two narrow scans: one for the references, one for the verdicts."""
+    """The documents that pass, with their columns. Two narrow scans: one for the references, one for the verdicts.
+
+    The verdict is one expression that binds the features once, so that as a filter it doesn't repeat them.
+    """
     column = fresh(docs, "_quality")
-    featured = features(docs, column)
-    judged = verdicts(featured, column, references(featured, column))
-    return judged.filter(judged[column]["kept"]).drop(column)
+    refs = references(features(docs, column), column)
+    return docs.filter(let(measured(docs), lambda f: verdict(f, refs)["kept"]))
