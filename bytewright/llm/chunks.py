@@ -117,7 +117,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     chunks = source.mapInArrow(_chunk_rows, "digest bigint, doc_id bigint, start bigint, extent bigint")
     owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
     repeats = chunks.join(owners, "digest").filter(F.col("doc_id") != F.col("first"))
-    found = repeats.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "extent", "first"))).alias("found"))
+    found = repeats.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "extent", "first"))).alias("found"))
     return found.mapInArrow(_runs(least), "doc_id bigint, start bigint, end bigint, n_words bigint, n_chunks bigint, first_doc_id bigint")
 
 
