@@ -82,18 +82,11 @@ def _digest_rows(width: int):
                     for k in range(HASHES):
                         sig[k, some] = np.minimum.reduceat(h * a[k] + b[k], edges) >> np.uint64(32)
                 sig = np.ascontiguousarray(sig.T)
-                keys = np.zeros((n, BANDS), np.uint64)
-                for k in range(BANDS):
-                    x = np.full(n, k + 1, np.uint64)
-                    for j in range(ROWS):
-                        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, k * ROWS + j].astype(np.uint64))
-                    keys[:, k] = x
                 ends = np.cumsum(count)
                 digests = [hashlib.blake2b(h[e - c : e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(ends, count, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[at : at + n], pa.array(count, pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), lists],
-                    ["doc_id", "n_shingles", "digest", "sig", "bands"],
+                    [batch.column("doc_id")[at : at + n], pa.array(count, pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "sig"],
                 )
 
     return rows
@@ -226,12 +219,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs (doc_id, text, ...)``."""
     bounds = least_matches(percent)
-    schema = "doc_id bigint, n_shingles bigint, digest binary, sig binary, bands array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, digest binary, sig binary"
     rows = cut(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_digest_rows(width), schema))
 
-    reps = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("r"))
-    nodes = cut(reps.select("digest", F.col("r.doc_id").alias("id"), "r.sig", "r.bands"))
-    members = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    reps = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("r"))
+    nodes = cut(reps.select("digest", F.col("r.doc_id").alias("id"), "r.sig"))
+    part = lambda k: F.substring(F.col("sig"), k * ROWS * 4 + 1, F.lit(ROWS * 4))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, part(k)))
+    members = nodes.select("id", F.posexplode(keys).alias("band", "bucket"))
 
     heads = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), "id")).alias("m"))
     heads = heads.filter("n > 1").select("bucket", F.col("m.id").alias("v"))
