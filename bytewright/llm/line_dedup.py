@@ -4,6 +4,10 @@ Lines with a word are hashed; ``GRAM`` neighbouring lines are a gram, and of eve
 selected, the last one of equals. What a window of ``GRAM + WINDOW - 1`` lines selects hangs on its lines alone: two equal
 windows anywhere select the same gram at the same place. So every repeated run of that many lines shares a fingerprint.
 
+A run of one or two lines is shorter than a window. Where it has ``words`` words or more it is a window and a fingerprint of its
+own, beside the windows of three lines; so every repeated run of whole lines with that many words is found, however few they are.
+With ``words=None`` there are windows of three lines only, the rule of ``SQL``.
+
 1. Fingerprints are counted over the corpus; those at one place only are dropped, and with them most windows.
 2. From the others' places matches extend both ways: over every window that holds the fingerprint, compared by its lines'
    hash next to the fingerprint. The first place of each window, in order of document and line, is a minimum.
@@ -22,17 +26,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let
+from .common import WORD, cut, let, words_of
 
 GRAM, WINDOW = 2, 2
 SPAN = GRAM + WINDOW - 1
+#: So many words make a window of fewer lines than ``SPAN``.
+LONG = 50
 
 
-def _windows(text: Column) -> Column:
+def _windows(text: Column, words: int | None) -> Column:
     """``(fingerprint, new, lines, p, at)`` of every window: its selected gram, whether the window before selected another
     place, the hash of its lines, its place among the lines with words, and these lines' places in the text."""
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    full = F.transform(F.filter(lines, lambda s: s["x"].rlike(WORD)), lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h")))
+
+    def line(s: Column) -> Column:
+        n = [] if words is None else [F.size(words_of(s["x"])).alias("n")]
+        return F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), *n)
+
+    full = F.transform(F.filter(lines, lambda s: s["x"].rlike(WORD)), line)
 
     def grams(l: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(l) - GRAM), lambda i: F.xxhash64(*[l[i + k]["h"] for k in range(GRAM)]))
@@ -59,13 +70,29 @@ def _windows(text: Column) -> Column:
 
         return F.when(F.size(l) >= SPAN, let(grams(l), rows))
 
-    return let(full, windows)
+    def short(l: Column, size: int) -> Column:
+        """Windows of ``size`` lines with enough words. The size is hashed too, so that none meets a gram."""
+
+        def row(p: Column) -> Column:
+            key = F.xxhash64(F.lit(size), *[l[p + k]["h"] for k in range(size)])
+            return F.struct(key.alias("fingerprint"), F.lit(1).alias("new"), key.alias("lines"), p.alias("p"), F.array(*[l[p + k]["i"] for k in range(size)]).alias("at"))
+
+        def enough(p: Column) -> Column:
+            return sum((l[p + k]["n"] for k in range(1, size)), l[p]["n"]) >= words
+
+        return F.when(F.size(l) >= size, F.transform(F.filter(F.sequence(F.lit(0), F.size(l) - size), enough), row))
+
+    def every(l: Column) -> Column:
+        none = F.array().cast("array<struct<fingerprint:bigint,new:int,lines:bigint,p:int,at:array<int>>>")
+        return F.concat(*[F.coalesce(w, none) for w in (windows(l), *(short(l, size) for size in range(1, SPAN)))])
+
+    return let(full, windows if words is None else every)
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, words: int | None = LONG) -> DataFrame:
     """``(doc_id, hash, gone)``: the places (from 0) of later repeated lines in each text that has any."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").filter(F.col("text").isNotNull())
-    rows = keyed.select("doc_id", "hash", F.inline(_windows(F.col("text"))))
+    rows = keyed.select("doc_id", "hash", F.inline(_windows(F.col("text"), words)))
     rows = cut(rows)
     counts = rows.groupBy("fingerprint").agg(F.sum("new").alias("n")).filter("n > 1").select("fingerprint")
     open_ = cut(rows.join(counts, "fingerprint", "left_semi"))
@@ -75,9 +102,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.select("doc_id", "hash", F.explode("at").alias("at")).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int | None = LONG) -> DataFrame:
     """``docs`` with later repeated runs of lines taken out of ``text``, and their number as the last column, ``n_removed``."""
-    marks = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("gone").alias("_gone"))
+    marks = repeated_lines(docs, words).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("gone").alias("_gone"))
     both = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_hash"]), "left")
 
     def kept(lines: Column) -> Column:

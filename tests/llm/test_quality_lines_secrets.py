@@ -88,6 +88,34 @@ def test_line_runs(docs):
     assert got[51] == "\nz" and got[53] == "two line\nthree line"
 
 
+def brute_long_lines(rows, words):
+    """Later repeats of runs of three lines, and of runs of one or two with so many words."""
+    gone = {doc: set() for doc, _ in rows}
+    for size in (1, 2, 3):
+        seen = {}
+        for doc, text in sorted(rows):
+            lines = text.split("\n")
+            full = [i for i, x in enumerate(lines) if WORD.search(x)]
+            for p in range(len(full) - size + 1):
+                key = tuple(lines[i] for i in full[p : p + size])
+                if (size == 3 or sum(len(WORD.findall(x)) for x in key) >= words) and seen.setdefault(key, (doc, p)) != (doc, p):
+                    gone[doc] |= set(full[p : p + size])
+    return {doc: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[doc]) for doc, text in rows}
+
+
+def test_long_lines(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    lines = ["", " ", "a", "b", *(" ".join(f"w{k}x{j}" for j in range(n)) for k, n in enumerate([20, 25, 25, 30, 49, 50, 60]))]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(8)))) for i in range(60)]
+    long, half, rest = (" ".join(f"{c}{j}" for j in range(n)) for c, n in (("p", 60), ("q", 25), ("r", 25)))
+    rows += [(100, f"one\n{long}\ntwo"), (101, f"three\n{long}\nfour"), (102, f"five\n{half}\n\n{rest}"), (103, f"{half}\n{rest}\nsix"), (104, long), (105, half)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_runs(spark, docs(*rows), "").collect()}
+    assert got == brute_long_lines(rows, line_dedup.LONG)
+    assert got[101] == "three\nfour" and got[103] == "six" and got[104] == "" and got[105] == half
+
+
 def test_line_edges(docs):
     df = docs((1, None), (2, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (2, "q\na\nb\nc"), (None, "a\nb\nc\nz"), (None, "long\n" * 3000))
     out = line_dedup.dedup_lines(df).collect()
