@@ -1,6 +1,7 @@
 """Substring deduplication by content-defined chunks: a gear rolling hash, digests, and runs of repeated chunks.
 
-A chunk ends with a word whose last eight bytes' gear hash is a multiple of ``RATE``. So boundaries hang on the text around
+A chunk ends with a word where the gear hash of the last eight bytes is a multiple of ``RATE``, each run of white space taken as
+one space. So boundaries hang on the text around
 them alone, and an insertion shifts none but its own. Chunks are compared by a 64-bit digest of their words in order. A chunk
 that is also in a document of smaller id is a repeat; neighbouring repeats join to a run, and runs of ``MIN_WORDS`` words
 or more are removed spans. The copy in the document of the smallest id stays.
@@ -44,6 +45,16 @@ def _gear(b: np.ndarray) -> np.ndarray:
     return h
 
 
+def _closes(joined: np.ndarray, space: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the gear hash ends a chunk at each of ``ends``. Of a run of white space one space counts; the gaps stay whole."""
+    kept = ~space
+    kept[1:] |= ~space[:-1]
+    for k in range(1, len(_GAP) + 1):
+        kept[begins - k] = True
+    gear = _gear(np.where(space, np.uint8(32), joined)[kept])
+    return (gear[np.cumsum(kept)[ends] - 1] >> _U(24)) % _U(RATE) == 0
+
+
 def _chunks(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     """Of all texts' chunks: text, digest, start and length in code points (white space after it included), words."""
     joined = np.frombuffer(_GAP + b"".join((t or b"") + _GAP for t in texts), np.uint8)
@@ -55,7 +66,7 @@ def _chunks(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     space = (joined == 32) | ((joined >= 9) & (joined <= 13))
     ends = np.flatnonzero(space[1:] & ~space[:-1])  # the last byte of every word
     text = np.searchsorted(begins, starts, "right") - 1
-    closes = (_gear(joined)[ends] >> _U(24)) % _U(RATE) == 0
+    closes = _closes(joined, space, begins, ends)
     opens = np.append(True, closes[:-1] | (text[1:] != text[:-1]))
     first = np.flatnonzero(opens)
     n = np.diff(np.append(first, len(words)))

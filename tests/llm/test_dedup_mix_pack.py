@@ -272,6 +272,21 @@ def test_packing_nothing(docs):
     assert packing.pack(packing.pieces(docs((1, "a")).filter("false"), tokenizer_path())).count() == 0
 
 
+def test_chunk_space():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(rng.randrange(1, 10))) for _ in range(2000)]
+    texts = [words[i : i + 50] for i in range(0, 2000, 50)]
+    spaces = [" ", "\n", "\t\n  ", "\n" * 9, "\x0b"]
+    loose = [rng.choice(["", "\n"]) + "".join(w + rng.choice(spaces) for w in t) for t in texts]
+    one, two = (chunks._chunks([t.encode() for t in x]) for x in ([" ".join(t) for t in texts], loose))
+    for k in (0, 1, 4):
+        assert one[k].tolist() == two[k].tolist()
+    for text, start, length, n in zip(*(two[k].tolist() for k in (0, 2, 3, 4)), strict=True):
+        assert len(loose[text][start : start + length].split()) == n
+    alone = [chunks._chunks([" ".join(t).encode()])[1].tolist() for t in texts]
+    assert sum(alone, []) == one[1].tolist()
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
