@@ -6,6 +6,11 @@ them alone, and an insertion shifts none but its own. Chunks are compared by a 6
 that is also in a document of smaller id is a repeat; neighbouring repeats join to a run, and runs of ``MIN_WORDS`` words
 or more are removed spans. The copy in the document of the smallest id stays.
 
+A stretch with few distinct words may have no such word. So where ``HELD`` words repeat those up to ``PERIOD`` words before,
+the chunk also ends once a period, with the word of the least hash; a periodic passage of ``HELD + 2 * PERIOD + MIN_WORDS``
+words or more has its run wherever it stands, whatever the length of the stretch around it. Longer periods hang on the gear hash.
+Chunks are compared one by one, so a stretch is a repeat even if the other document repeats its period less often.
+
 First owners are minima by digest, with map-side combining; joining them back to the chunks is the one join by digest,
 which Spark can split where a digest is very frequent. No pairs are made.
 
@@ -29,6 +34,8 @@ from .shingles import STEP, mix, word_hashes
 #: One word in so many ends a chunk.
 RATE = 5
 MIN_WORDS = 16
+#: Periods of so many words at most, held for so many words, end chunks too.
+PERIOD, HELD = 12, 8
 _U = np.uint64
 _GEAR = mix(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D))
 #: Bytes between joined texts; the hash's memory is shorter.
@@ -55,6 +62,17 @@ def _closes(joined: np.ndarray, space: np.ndarray, begins: np.ndarray, ends: np.
     return (gear[np.cumsum(kept)[ends] - 1] >> _U(24)) % _U(RATE) == 0
 
 
+def _periods(words: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether each word is the least of a period in a periodic stretch of its text."""
+    out, least = np.zeros(len(words), bool), words.copy()
+    for p in range(1, min(PERIOD, len(words) - HELD) + 1):
+        same = np.append(0, np.cumsum(words[p:] == words[:-p]))
+        held = (same[HELD:] - same[:-HELD] == HELD) & (text[p + HELD - 1 :] == text[: len(text) - p - HELD + 1])
+        out[p + HELD - 1 :] |= held & (words[p + HELD - 1 :] == least[p + HELD - 1 :])
+        least[p:] = np.minimum(least[p:], words[:-p])
+    return out
+
+
 def _chunks(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     """Of all texts' chunks: text, digest, start and length in code points (white space after it included), words."""
     joined = np.frombuffer(_GAP + b"".join((t or b"") + _GAP for t in texts), np.uint8)
@@ -66,7 +84,7 @@ def _chunks(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     space = (joined == 32) | ((joined >= 9) & (joined <= 13))
     ends = np.flatnonzero(space[1:] & ~space[:-1])  # the last byte of every word
     text = np.searchsorted(begins, starts, "right") - 1
-    closes = _closes(joined, space, begins, ends)
+    closes = _closes(joined, space, begins, ends) | _periods(words, text)
     opens = np.append(True, closes[:-1] | (text[1:] != text[:-1]))
     first = np.flatnonzero(opens)
     n = np.diff(np.append(first, len(words)))

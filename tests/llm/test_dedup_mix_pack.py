@@ -287,6 +287,32 @@ def test_chunk_space():
     assert sum(alone, []) == one[1].tolist()
 
 
+def test_chunk_periods(docs):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(9))
+    rows, want = [], []
+    for k in range(120):
+        period = [word() for _ in range(k % chunks.PERIOD + 1)]
+        for j in (0, 1):
+            shift, n = rng.randrange(len(period)), rng.randrange(51, 90)
+            rows.append((2 * k + j, " ".join([*(word() for _ in range(30)), *(period[(shift + i) % len(period)] for i in range(n)), *(word() for _ in range(30))])))
+        want.append(2 * k + 1)
+    assert sorted({s["doc_id"] for s in chunks.repeated_spans(docs(*rows)).collect()}) == want
+
+
+def test_periods():
+    rng = np.random.default_rng(13)
+    for _ in range(30):
+        n = int(rng.integers(0, 80))
+        words, text = rng.integers(1, 3, n).astype(np.uint64), np.sort(rng.integers(0, 3, n))
+        want = []
+        for i in range(n):
+            near = [p for p in range(1, chunks.PERIOD + 1) if i - p - chunks.HELD + 1 >= 0 and text[i - p - chunks.HELD + 1] == text[i]]
+            near = [p for p in near if all(words[i - k] == words[i - k - p] for k in range(chunks.HELD))]
+            want.append(any(words[i] == min(words[i - p + 1 : i + 1]) for p in near))
+        assert chunks._periods(words, text).tolist() == want
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
