@@ -105,6 +105,7 @@ k as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from k where rank <= 10
 """,
     "op5_chat_format": chat.SQL,
+    "op8_secret_scan": secrets.SQL,
     "op9_url_filter": urls.sql(URL_RULES),
     "op10_minhash_near_dedup": """
 with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as a from documents),

@@ -149,16 +149,43 @@ def test_secrets(docs):
     assert secrets.digest(docs((1, "")).filter("false")).count() == 0
 
 
+def table_rows(frame):
+    return sorted(map(tuple, frame[sorted(frame.columns)].astype(object).values.tolist()))
+
+
 def test_entropy(spark, docs):
     import math
     from collections import Counter
 
+    import duckdb
+
     rng = random.Random(6)
     s = "".join(rng.choice("abcdXYZ0189+/") for _ in range(60))
     best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(41))
     assert spark.range(1).select(secrets.window_entropy(F.lit(s)).alias("h")).first()["h"] == pytest.approx(best)
     key = "q7Zp2LxV9mKc4Rt8WbYs3NfD6hJg"
-    rows = docs((1, f"see {key} here"), (2, "123e4567-e89b-12d3-a456-426614174000"), (3, "x" * 40 + "1"), (4, "a-long-path/with-words/and-more-2"), (5, f"token={key}"))
-    got = {r["doc_id"]: r["spans"] for r in secrets.digest(rows).collect()}
-    assert got[1] == f"entropy:4:{4 + len(key)}"
-    assert got[2] == got[3] == got[4] == "" and got[5] == f"assign:0:{6 + len(key)}"
+    letters = "qHZpeLxVbmKcdRtyWbYsINfDuhJg"
+    rows = [(1, f"see {key} here"), (2, "123e4567-e89b-12d3-a456-426614174000"), (3, "x" * 40 + "1"), (4, "a-long-path/with-words/and-more-2"), (5, f"token={key}")]
+    rows += [(6, f"example/{key}"), (7, f"example{key}"), (8, letters), (9, "getElementsByTagNameAndClassName"), (10, "a" * 19 + "1"), (10, key), (11, None)]
+    got = sorted((r["doc_id"], r["spans"]) for r in secrets.digest(docs(*rows)).collect())
+    want = {1: f"entropy:4:{4 + len(key)}", 5: f"assign:0:{6 + len(key)}", 6: f"entropy:0:{8 + len(key)}", 8: f"entropy:0:{len(letters)}"}
+    assert got == sorted([*((i, want.get(i, "")) for i, _ in rows if i != 10), (10, ""), (10, f"entropy:0:{len(key)}")])
+
+    # the SQL takes the entropy of every window anew
+    symbols = ["abc", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEF0123456789", "aZ9bY8cX7dW6/+=_-", "word/", "Word", "-", "aaaaaaa", " ", "é", "\n", "token: ", "AKIA"]
+    more = [(100 + i, "".join("".join(rng.choice(c) for _ in range(rng.randrange(1, 30))) if len(c := rng.choice(symbols)) > 4 else c for _ in range(rng.randrange(12)))) for i in range(300)]
+    df = docs(*more, *rows[:9]).select("doc_id", "text")
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    assert table_rows(secrets.digest(df).toPandas()) == table_rows(c.execute(secrets.SQL).fetchdf())
+    assert c.execute("select count(*) from documents d, (" + secrets.SQL + ") s where d.doc_id = s.doc_id and spans like '%entropy%'").fetchone()[0] > 20
+
+
+@pytest.mark.parametrize(("text", "spans"), [("a1-" * 350_000, 0), ("token=abcdef " * 20_000, 20_000), ("zb1" * 20_000, 0), ("base64", 1)])
+def test_long_candidates(docs, text, spans):
+    """Nothing recurses by length, and the work is linear."""
+    rng = random.Random(8)
+    if text == "base64":
+        text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    row = secrets.digest(docs((1, text))).first()
+    assert len([x for x in row["spans"].split(",") if x]) == spans
