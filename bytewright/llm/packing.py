@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents, by vector best-fit over a histogram of lengths.
 
 A document longer than a sequence is cut so that its first piece is the short one; all others fill a sequence. What is
-left to pack has integer lengths up to the sequence's, so the packing is planned on counts by length: ``C`` numbers,
-whatever the corpus' size. Lengths go by descending order. Bins of one history form a group; each step puts a piece into
+left to pack has integer lengths below the sequence's, so the packing is planned on counts by length: fewer than ``C``
+numbers, whatever the corpus' size. Lengths go by descending order. Bins of one history form a group; each step puts a piece into
 every bin of the group that fits best, or opens new bins. A bin has three residuals, each a share of its capacity: tokens,
 documents, and attention cost (the sum of squared lengths). A piece goes where all three admit it, to the least
 weighted norm of the residuals left, or to the largest weighted dot product of demand and residual.
@@ -10,16 +10,21 @@ weighted norm of the residuals left, or to the largest weighted dot product of d
 The plan is a table of ranges: pieces of one length with ranks ``lo .. lo + n - 1`` go to bins ``bin ..`` at one offset. Ranks
 come from window counts by length and hash bucket, so that a length that very many documents share is many windows.
 
-Defined cases: a null or empty text is the end token alone; documents are cut only if longer than a sequence; rows that
-repeat a doc_id are packed each; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null or empty text is the end token alone; documents are cut only if longer than a sequence; texts of any length are
+encoded whole, white space and single words of megabytes included; pieces that tie in length are ranked by a hash, then id and
+piece, and equal rows take their ranks in any order; rows that repeat a doc_id are packed each; a null doc_id stays null; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,46 +35,71 @@ from pyspark.sql import types as T
 from .common import cut
 
 CAPACITY, END = 1024, 2
-#: Buckets of one length's pieces; with the lengths they bound the rows of the offset table.
-BUCKETS = 64
-WORDS_CACHED = 400_000
+#: Pieces of one length that are ranked together, on average: a length has as many hash buckets as it takes.
+RANKED = 1 << 16
+#: Rows of the bucket table that are broadcast at most; beyond, it is joined by shuffle.
+BROADCAST_BUCKETS = 1 << 17
 
 
-@cache
-def _tokenizer(path: str):
-    """An encoder of whole texts. The vocabulary's rank file beside ``path`` gives the same ids much faster, if there is one."""
-    import os
+#: A text may be cut before a space and an ASCII letter if neither space nor anything odd stands before them.
+_CUT = re.compile(r"(?<=[!-~\w])(?= [A-Za-z])")
+#: Parts of so many characters at most are kept, and so many of them in each Python worker; others are encoded each time.
+PART, PARTS = 48, 200_000
+
 
-    import tokenizers
+class Encoder:
+    """Ids of whole texts by ``tokenizers``. What stands between two cuts is encoded once and then looked up.
 
-    slow = tokenizers.Tokenizer.from_file(path)
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks):
-        return lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
-    import base64
+    A byte-level pre-tokenizer splits at its fixed pattern, in which a space only opens a token, stands among other white space, or
+    ends one by itself; so a token ends before a space that follows a character of another kind, and the next one begins with that
+    space and the letter behind it. Merges don't cross tokens, and no special token holds a space. So the ids of the parts are those of
+    the whole. A tokenizer of another build, for which this isn't known to hold, takes whole texts.
+    """
 
-    import tiktoken
+    def __init__(self, path: str):
+        import tokenizers
+
+        self.tokenizer, self.known = tokenizers.Tokenizer.from_file(path), {}
+        told = json.loads(self.tokenizer.to_str())
+        first = told["pre_tokenizer"] or {}
+        plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not told["normalizer"]
+        apart = all(not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in told["added_tokens"])
+        self.by_parts = bool(plain and apart and told["model"].get("type") == "BPE")
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_parts:
+            return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        parts = [_CUT.split(t) for t in texts]
+        if len(self.known) > PARTS:
+            self.known.clear()
+        known = self.known
+        new = list({p for some in parts for p in some if p not in known})
+        fresh = {p: tuple(e.ids) for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+        for p, ids in fresh.items():
+            if len(p) <= PART:
+                known[p] = ids
+        long = {p: ids for p, ids in fresh.items() if len(p) > PART}
+        look = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
+        return [np.fromiter(chain.from_iterable(map(look, some)), np.int64) for some in parts]
 
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
-    return lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
+
+@cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every piece of every document, and its ``ids`` on request."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(tokenizer)
+        encode = _encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 owner, piece, start, length, crc, all_ids = [], [], [], [], [], []
                 for i, ids in enumerate(encode(texts)):
-                    ids = np.array([*ids, end], "<u4")
+                    ids = np.append(ids, end).astype("<u4")
                     first = len(ids) % capacity or capacity
                     for n, a in enumerate(range(first - capacity, len(ids), capacity)):
                         a, b = max(a, 0), a + capacity
@@ -144,13 +174,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, documents: int | None
 
 
 def pack(pieced: DataFrame, capacity: int = CAPACITY, **limits) -> DataFrame:
-    """``pieced`` with ``sequence_id`` and ``offset``."""
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    held = cut(pieced.withColumn("_bucket", bucket))
-    sizes = held.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
+    """``pieced`` with ``sequence_id`` and ``offset``. A full piece has a sequence of its own, with a negative number, and needs no rank."""
+    held = cut(pieced)
+    full = held.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    short = held.filter(F.col("length") != capacity)
+    counts = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer than ``capacity`` rows
+    if not counts:
+        return full
+    buckets = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for k, n in counts.items() for x in (k, -(-n // RANKED))]), F.col("length"))
+    short = short.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets))
+    sizes = short.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = cut(sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), "n"))
-    counts = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
+    starts = cut(sizes.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before")))
     ranges: dict[int, list[tuple[int, int, int]]] = {}
     for length, lo, _, first, offset in plan(counts, capacity, **limits):
         ranges.setdefault(length, []).append((lo, first, offset))
@@ -168,10 +203,12 @@ def pack(pieced: DataFrame, capacity: int = CAPACITY, **limits) -> DataFrame:
             names = [c for c in batch.schema.names if c != "_rank"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
+    few = sum(-(-n // RANKED) for n in counts.values()) <= BROADCAST_BUCKETS
     inside = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = held.withColumn("_in", inside).join(F.broadcast(starts.drop("n")), ["length", "_bucket"])  # at most capacity * BUCKETS rows
+    ranked = short.withColumn("_in", inside).join(F.broadcast(starts) if few else starts, ["length", "_bucket"])
     ranked = ranked.select(*pieced.columns, (F.col("_before") + F.col("_in")).cast("bigint").alias("_rank"))
-    return ranked.mapInArrow(place, T.StructType([*pieced.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    placed = ranked.mapInArrow(place, T.StructType([*pieced.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return full.unionByName(placed)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

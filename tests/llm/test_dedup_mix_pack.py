@@ -4,9 +4,12 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -200,10 +203,15 @@ def test_mixing_nothing(docs):
     assert mixing.mix(docs((1, None), (2, ""))).count() >= 0
 
 
-def reference_ids(text):
+@cache
+def reference_tokenizer():
     import tokenizers
 
-    t = tokenizers.Tokenizer.from_file(tokenizer_path())
+    return tokenizers.Tokenizer.from_file(tokenizer_path())
+
+
+def reference_ids(text):
+    t = reference_tokenizer()
     return [*t.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
@@ -242,12 +250,45 @@ def test_packing(docs):
     assert all(len(r["ids"]) == r["length"] for r in got)
 
 
-def test_packing_without_rank_file(docs, tmp_path):
-    import shutil
+ODD = ["a", "Zé", "é", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "'s", "'", "12", "²", "_", "-", ".", "<|endoftext|>", "<|", "漢", "e\u0301", "\u200d", "😀", " the", " of"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(ODD), max_size=30).map("".join))
+def test_parts_encode_as_the_whole(text):
+    encoder = packing._encoder(tokenizer_path())
+    assert encoder.by_parts
+    assert [*encoder([text, text + " x"])[0], packing.END] == reference_ids(text)
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(packing, "PARTS", 3)
+    encoder = packing.Encoder(tokenizer_path())
+    for text in ["one two three four five", "five six seven eight", "", "one" * 40 + " two"] * 2:
+        assert [*encoder([text])[0], packing.END] == reference_ids(text)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, " \n" * 300_000 + "x"])
+def test_long_runs(docs, text):
+    got = packing.pack(packing.pieces(docs((1, text), (2, "x"), (2, "x"), (None, "y")), tokenizer_path())).collect()
+    check_packing([(1, text)], [r for r in got if r["doc_id"] == 1])
+    assert sum(r["doc_id"] == 2 for r in got) == 2 and sum(r["doc_id"] is None for r in got) == 1
+
+
+def test_other_tokenizers_take_whole_texts(docs):
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    assert not packing._encoder(path).by_parts
+    assert packing.pieces(docs((1, "hello world")), path).first()["length"] == 3
+
 
-    shutil.copy(tokenizer_path(), tmp_path / "own.json")
-    rows = [(1, "hello <|endoftext|> world"), (2, None)]
-    check_packing(rows, packing.pack(packing.pieces(docs(*rows), str(tmp_path / "own.json"))).collect())
+def test_many_buckets(docs, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    rows = [(i, "x " * (i % 5)) for i in range(200)] + [(i, "x " * 3000) for i in range(300, 303)]
+    for few in (packing.BROADCAST_BUCKETS, 0):
+        monkeypatch.setattr(packing, "BROADCAST_BUCKETS", few)
+        check_packing(rows, packing.pack(packing.pieces(docs(*rows), tokenizer_path())).collect())
 
 
 @pytest.mark.parametrize(("documents", "attention", "by"), [(None, None, "norm"), (3, None, "dot"), (None, 300_000, "norm"), (4, 300_000, "dot")])
