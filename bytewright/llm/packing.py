@@ -24,7 +24,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,46 +40,42 @@ RANKED = 1 << 16
 BROADCAST_BUCKETS = 1 << 17
 
 
-#: A text may be cut before a space and an ASCII letter if neither space nor anything odd stands before them.
-_CUT = re.compile(r"(?<=[!-~\w])(?= [A-Za-z])")
+#: Where a text may be cut: before white space behind anything that is none, and before punctuation behind a letter.
+_CUT = re.compile(r"(?<=[!-~\w])(?=[ \t\r\n])|(?<=[A-Za-z])(?=[.,;:!?)])")
 #: Parts of so many characters at most are kept, and so many of them in each Python worker; others are encoded each time.
-PART, PARTS = 48, 200_000
+PART, PARTS = 48, 400_000
 
 
-class Encoder:
-    """Ids of whole texts by ``tokenizers``. What stands between two cuts is encoded once and then looked up.
+class Encoder(dict):
+    """Ids of whole texts by ``tokenizers``, as little-endian 32-bit numbers. What stands between two cuts is encoded once and then looked up.
 
-    A byte-level pre-tokenizer splits at its fixed pattern, in which a space only opens a token, stands among other white space, or
-    ends one by itself; so a token ends before a space that follows a character of another kind, and the next one begins with that
-    space and the letter behind it. Merges don't cross tokens, and no special token holds a space. So the ids of the parts are those of
-    the whole. A tokenizer of another build, for which this isn't known to hold, takes whole texts.
+    A byte-level pre-tokenizer splits at its fixed pattern: white space only opens a token or stands among other white space, and a
+    token of letters ends at punctuation. So a token ends at every cut and the next one begins there, whatever stands on the other
+    side; merges don't cross tokens, and no special token holds a cut. So the ids of the parts are those of the whole. A
+    tokenizer of another build, for which this isn't known to hold, takes whole texts.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
-        self.tokenizer, self.known = tokenizers.Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
         first = told["pre_tokenizer"] or {}
         plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not told["normalizer"]
-        apart = all(not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in told["added_tokens"])
+        apart = all(not _CUT.search(f"a{t['content']}a") and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in told["added_tokens"])
         self.by_parts = bool(plain and apart and told["model"].get("type") == "BPE")
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_parts:
-            return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        parts = [_CUT.split(t) for t in texts]
-        if len(self.known) > PARTS:
-            self.known.clear()
-        known = self.known
-        new = list({p for some in parts for p in some if p not in known})
-        fresh = {p: tuple(e.ids) for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        for p, ids in fresh.items():
-            if len(p) <= PART:
-                known[p] = ids
-        long = {p: ids for p, ids in fresh.items() if len(p) > PART}
-        look = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(look, some)), np.int64) for some in parts]
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(part) <= PART:
+            if len(self) >= PARTS:
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, _CUT.split(text) if self.by_parts else [text])), "<u4")
 
 
 @cache
@@ -92,14 +87,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """``(doc_id, piece, start, length, ids_crc32)`` of every piece of every document, and its ``ids`` on request."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 owner, piece, start, length, crc, all_ids = [], [], [], [], [], []
-                for i, ids in enumerate(encode(texts)):
-                    ids = np.append(ids, end).astype("<u4")
+                for i, text in enumerate(texts):
+                    ids = np.append(encoder.ids(text), np.array([end], "<u4"))
                     first = len(ids) % capacity or capacity
                     for n, a in enumerate(range(first - capacity, len(ids), capacity)):
                         a, b = max(a, 0), a + capacity
