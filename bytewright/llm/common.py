@@ -32,6 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def named(df: DataFrame, *used: str) -> DataFrame:
+    """``df`` with its columns as ``c0, c1, ..`` and those called ``used`` (by default the documents' own) under their names too.
+
+    So no column of a caller's table meets one of an operator's, whatever it is called.
+    """
+    used = [c for c in used or ("doc_id", "text") if c in df.columns]
+    return df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *used)
+
+
+def renamed(df: DataFrame, like: DataFrame, *changed: str) -> DataFrame:
+    """The columns of ``like`` out of ``named(like)`` with more; those called ``changed`` (by default the text) from their own names."""
+    changed = changed or ("text",)
+    return df.select(*[F.col(c if c in changed else f"c{i}").alias(c) for i, c in enumerate(like.columns)])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with as many underscores as it takes not to clash with a column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -117,31 +117,92 @@ def test_long_texts_hash_as_short_ones(monkeypatch):
     assert whole[:4] == parts[:4]
 
 
-def test_chunk_spans(docs):
+def brute_chunk_ends(words):
+    """Places behind the last word of every chunk, by the rule's own words."""
+    joined, ends = b" " * 8, []
+    for i, w in enumerate(words):
+        joined += w.encode()
+        gear = sum(int(chunks._GEAR[joined[-1 - j]]) << j for j in range(8)) % (1 << 64)
+        periods = [p for p in range(1, chunks.PERIOD + 1) if i - p - chunks.HELD + 1 >= 0 and all(words[i - k] == words[i - k - p] for k in range(chunks.HELD))]
+        h = lambda k: int(shingles.word_hashes(np.frombuffer(words[k].encode(), np.uint8))[0][0])
+        if (gear >> 24) % chunks.RATE == 0 or any(h(i) == min(h(k) for k in range(i - p + 1, i + 1)) for p in periods) or i + 1 == len(words):
+            ends.append(i + 1)
+        joined += b" "
+    return ends
+
+
+def brute_repeats(rows, least):
+    """By row the words that a run of chunks covers whose words, as a run, a document of smaller id holds."""
+    held, runs = defaultdict(set), []
+    for i, text in rows:
+        words = WORD.findall(text or "") if i is not None else []
+        ends = brute_chunk_ends(words)
+        opens = [0, *ends[:-1]]
+        mine = set()
+        for a in opens:
+            mine |= {(a, b) for b in ends if b - a >= least and (all(e - a < least for e in ends if e < b) or all(b - o < least for o in opens if o > a))}
+        runs.append([(a, b, tuple(words[a:b])) for a, b in mine])
+        for *_, w in runs[-1]:
+            held[w].add(i)
+    return [{k for a, b, w in mine for k in range(a, b) if min(held[w]) < i} for (i, _), mine in zip(rows, runs, strict=True)]
+
+
+@pytest.mark.parametrize("step", [1 << 20, 600])
+def test_chunk_spans(docs, monkeypatch, step):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
     fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    passages = [fill(60) for _ in range(25)]
+    passages = [fill(60) for _ in range(12)]
     rows = [(i, f"{fill(rng.randrange(40))} {p}\n{fill(30)} é {fill(9)}") for i, p in enumerate(passages)]
     rows += [(100 + i, f"{fill(rng.randrange(50))}  {p} {fill(rng.randrange(60))}") for i, p in enumerate(passages)]
-    rows += [(200 + i, fill(300)) for i in range(20)] + [(300, rows[0][1]), (300, rows[0][1]), (None, rows[1][1]), (301, None), (302, "")]
-    df = docs(*rows)
-    spans = chunks.repeated_spans(df).collect()
-    texts = dict(rows)
-    hit = defaultdict(int)
+    parts = [passages[i].split()[j : j + 25] for i in range(6) for j in (0, 30)]
+    rows += [(150 + i, " ".join(sum(rng.sample(parts, 4), []))) for i in range(20)]  # neighbours from several documents
+    rows += [(200 + i, fill(100)) for i in range(8)] + [(300, rows[0][1]), (300, rows[0][1]), (300, fill(20) + " " + rows[3][1]), (None, rows[1][1]), (301, None), (302, "")]
+    rows += [(400, "x y z " * 40), (401, "w " + "y z x " * 50), (402, "\n".join(passages[0].split()) + "\x0b" + passages[1].replace(" ", "\t \n"))]
+    monkeypatch.setattr(chunks, "STEP", step)
+    spans = chunks.repeated_spans(docs(*rows), 16).collect()
+    want = brute_repeats(rows, 16)
+    got = defaultdict(set)
     for s in spans:
-        part = texts[s["doc_id"]][s["start"] : s["end"]].split()
-        assert len(part) == s["n_words"] >= chunks.MIN_WORDS
-        first = " ".join(texts[s["first_doc_id"]].split())
-        assert s["first_doc_id"] < s["doc_id"] and any(" ".join(part[k : k + 8]) in first for k in range(len(part) - 7))
-        hit[s["doc_id"]] += s["n_words"]
-    assert not {i for i in hit if i < 100 or 200 <= i < 300}
-    assert len([i for i in hit if 100 <= i < 125]) >= 24 and hit[300] >= 0.8 * len(rows[0][1].split())
-    clean = {r["doc_id"]: r["text"] for r in chunks.remove(df).collect() if r["doc_id"] is not None}
-    for i, t in texts.items():
-        if i is not None:
-            assert clean[i] == (t if i not in hit else "".join(c for k, c in enumerate(t) if not any(s["doc_id"] == i and s["start"] <= k < s["end"] for s in spans)))
-    assert chunks.repeated_spans(df.filter("false")).count() == 0
+        here = [t for i, t in rows if i == s["doc_id"] and t and places(t, s)]
+        assert here and s["end"] > s["start"]
+        for t in here:
+            part = t[s["start"] : s["end"]]
+            assert len(WORD.findall(part)) == s["n_words"] >= 16 and s["first_doc_id"] < s["doc_id"]
+            first = [WORD.findall(x) for i, x in rows if i == s["first_doc_id"]]
+            assert any(WORD.findall(part) == f[k : k + s["n_words"]] for f in first for k in range(len(f)))
+            got[(s["doc_id"], t)] |= places(t, s)
+    for (i, t), covered in zip(rows, want, strict=True):
+        assert got[(i, t)] == covered, i
+    assert all(len(got[rows[12 + k]]) > 30 for k in range(12)) and not any(got[(200 + i, t)] for i, t in enumerate([t for i, t in rows if 200 <= (i or 0) < 300]))
+
+
+def places(text, span):
+    """The numbers of the words of a span, if it lies between words of this text."""
+    found = list(WORD.finditer(text))
+    starts, ends = {m.start(): k for k, m in enumerate(found)}, {m.end(): k for k, m in enumerate(found)}
+    if span["start"] not in starts or span["end"] not in ends or ends[span["end"]] - starts[span["start"]] + 1 != span["n_words"]:
+        return set()
+    return set(range(starts[span["start"]], ends[span["end"]] + 1))
+
+
+def test_chunk_removal(docs):
+    rng = random.Random(15)
+    fill = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(n))
+    p, q = fill(60), fill(60)
+    rows = [(1, p), (2, q), (3, f"é {p} x"), (3, f"{fill(9)} {q}"), (4, f"{p} {q}"), (5, None), (None, p), (6, fill(80))]
+    df = docs(*rows).withColumns({"_spans": F.lit(1), "a.b": F.lit(2), "hash": F.lit(3), "starts": F.lit(4), "c0": F.lit(5)})
+    out = chunks.remove(df)
+    assert out.columns == df.columns
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    for i in (1, 2, 6):
+        assert (i, dict(rows)[i]) in left
+    assert (5, None) in left and (None, p) in left and len(left) == len(rows)
+    for i, t in left:
+        if i in (3, 4):
+            assert all(x in [t for k, t in rows if k == i][0] + [t for k, t in rows if k == i][-1] for x in t.split()) and len(t.split()) < 60
+    assert sum("é" in (t or "") for _, t in left) == 1
+    assert chunks.remove(df.filter("false")).count() == 0 and chunks.repeated_spans(df.filter("false")).count() == 0
 
 
 def brute_targets(sizes):
@@ -319,13 +380,22 @@ def test_chunk_space():
     texts = [words[i : i + 50] for i in range(0, 2000, 50)]
     spaces = [" ", "\n", "\t\n  ", "\n" * 9, "\x0b"]
     loose = [rng.choice(["", "\n"]) + "".join(w + rng.choice(spaces) for w in t) for t in texts]
-    one, two = (chunks._chunks([t.encode() for t in x]) for x in ([" ".join(t) for t in texts], loose))
-    for k in (0, 1, 4):
+    one, two = (chunks._windows([t.encode() for t in x], 16) for x in ([" ".join(t) for t in texts], loose))
+    for k in (0, 1, 2, 5, 6):
         assert one[k].tolist() == two[k].tolist()
-    for text, start, length, n in zip(*(two[k].tolist() for k in (0, 2, 3, 4)), strict=True):
-        assert len(loose[text][start : start + length].split()) == n
-    alone = [chunks._chunks([" ".join(t).encode()])[1].tolist() for t in texts]
-    assert sum(alone, []) == one[1].tolist()
+    for text, start, end, word, n in zip(*(two[k].tolist() for k in (0, 3, 4, 5, 6)), strict=True):
+        assert loose[text][start:end].split() == texts[text][word : word + n]
+    alone = [chunks._windows([" ".join(t).encode()], 16)[1].tolist() for t in texts]
+    assert sorted(sum(alone, [])) == sorted(one[1].tolist())
+
+
+def test_long_chunk_text():
+    """A text of several steps gives the runs that its words give."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9))) for _ in range(300_000)]
+    one = chunks._windows([" ".join(words).encode()], 16)
+    part = chunks._windows([" ".join(words[200_000:200_500]).encode()], 16)
+    assert len(set(part[1].tolist()) & set(one[1].tolist())) > 0.9 * len(part[1])
 
 
 def test_chunk_periods(docs):
