@@ -218,4 +218,4 @@ def remove(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     spans = spans.select(F.col("doc_id").alias("id"), "hash", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     plain = named(docs).select("*", F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))
     both = plain.join(spans, ["id", "hash"], "left").withColumn("text", F.when(F.col("starts").isNull(), F.col("text")).otherwise(_without("text", "starts", "ends")))
-    return cut(renamed(both, docs))
+    return cut(renamed(both, docs, "text"))

@@ -20,16 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage. The copy survives the loss of executors.
 
-    The folder comes from ``spark.checkpoint.dir``; a private one is used only if the session has none,
-    as in local tests. The copy survives the loss of executors.
+    Spark deletes it once nothing refers to it, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, from ``spark.checkpoint.dir``. Only a local session that names none gets one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="bytewright-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def named(df: DataFrame, *used: str) -> DataFrame:
@@ -41,10 +48,26 @@ def named(df: DataFrame, *used: str) -> DataFrame:
     return df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *used)
 
 
-def renamed(df: DataFrame, like: DataFrame, *changed: str) -> DataFrame:
-    """The columns of ``like`` out of ``named(like)`` with more; those called ``changed`` (by default the text) from their own names."""
-    changed = changed or ("text",)
-    return df.select(*[F.col(c if c in changed else f"c{i}").alias(c) for i, c in enumerate(like.columns)])
+def renamed(df: DataFrame, like: DataFrame, *changed: str, into: list[str] | None = None) -> DataFrame:
+    """The columns of ``like`` out of ``named(like)``; those called ``changed`` from their own names, and the next ones of ``c0, c1, ..`` as ``into``."""
+    return df.select(*[F.col(c if c in changed else f"c{i}").alias(c) for i, c in enumerate([*like.columns, *(into or [])])])
+
+
+#: A key is heavy if more than one row in so many has it; so there are fewer heavy keys than that, whatever the input's size.
+HEAVY = 2000
+
+
+def meet(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key, with the number ``n`` of its rows), no task getting all rows of a heavy key.
+
+    Facts of heavy keys are broadcast, fewer than ``HEAVY`` rows; the other rows meet theirs by shuffle. ``rows`` is read twice.
+    """
+    facts = cut(facts)
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(facts.filter(F.col("n") * HEAVY > total))
+    light = facts.filter(F.col("n") * HEAVY <= total)
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys)
+    return rows.join(heavy, keys).unionByName(rest)
 
 
 def fresh(df: DataFrame, name: str) -> str:

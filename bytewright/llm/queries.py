@@ -19,8 +19,8 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without later repeated runs of three lines or more, the rule of its SQL."""
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), words=None).select("doc_id", "n_removed", "text")
+    """Every document without later repeated runs of three lines or more, or of 50 words or more."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
 
 
 def tokenizer_path() -> str:

@@ -64,7 +64,7 @@ def test_quality_of_nothing(docs):
     assert quality.keep_good(docs((1, None), (2, ""))).count() == 0
 
 
-def brute_lines(rows, span=line_dedup.SPAN):
+def brute_lines(rows, span=line_dedup.WINDOW):
     seen, out = {}, {}
     for doc, text in sorted(set(rows), key=lambda r: r[0]):
         full = [i for i, x in enumerate(text.split("\n")) if WORD.search(x)]
@@ -83,7 +83,7 @@ def test_line_runs(docs):
     rows = [(i, "\n".join(rng.choice(["a", "b", "c d", "", " ", "e"]) for _ in range(rng.randrange(30)))) for i in range(40)]
     block = "one line\ntwo line\n\nthree line\nfour line"
     rows += [(50, f"x\n{block}\ny"), (51, f"{block}\nz"), (52, f"z\n{block}"), (53, "two line\nthree line"), (54, "")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(*rows)).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(*rows), None).collect()}
     assert got == brute_lines(rows)
     assert got[51] == "\nz" and got[53] == "two line\nthree line"
 
@@ -124,6 +124,30 @@ def test_line_edges(docs):
     assert line_dedup.dedup_lines(df.filter("false")).count() == 0
 
 
+def test_hot_lines_and_clashing_columns(docs, monkeypatch):
+    from bytewright.llm import common
+
+    rng = random.Random(19)
+    rows = [(i, "\n".join(["hot", "hotter", "hottest"] if rng.random() < 0.4 else [rng.choice("abcde") for _ in range(rng.randrange(6))])) for i in range(300)]
+    df = docs(*rows).withColumns({"_gone": F.lit(1), "a.b": F.lit(2), "n_removed": F.lit(3), "hash": F.lit(4), "c1": F.lit(5), "gone": F.lit(6)})
+    for heavy in (1, 20, 2000):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        out = line_dedup.dedup_lines(df, None)
+        assert out.columns == [*df.columns, "n_removed_"]
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_lines(rows)
+
+
+def test_selected_lines(spark):
+    """Every window selects one line, the last of the least, and only selected lines are rows."""
+    rng = random.Random(20)
+    text = "\n".join(rng.choice("abcdefgh") for _ in range(400))
+    rows = spark.range(1).select(F.inline(line_dedup._places(F.lit(text), None))).collect()
+    h = [r["h"] for r in spark.createDataFrame([(c,) for c in text.split("\n")], "c string").select(F.xxhash64("c").alias("h")).collect()]
+    got = {w["p"]: r["fingerprint"] for r in rows for w in r["windows"]}
+    assert sorted(got) == list(range(398)) and all(got[q] == min(h[q : q + 3]) for q in got)
+    assert len(rows) < 300
+
+
 PATTERNS = [
     ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
