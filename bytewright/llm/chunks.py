@@ -143,8 +143,9 @@ def _rows(least: int):
         later = doc != doc[head]
         # rows of the smallest id are all sent: each of them may be a repeat of a document elsewhere
         one[later] = mix(doc[later].view(_U) * _U(3) + word[later].view(_U)).view(np.int64)  # a settled row has any place in the shuffle
+        back = np.lexsort((word, owner[order]))  # in the texts' order neighbours are alike, and so take less room
         columns = [doc, h[order], one, two, (start << 32 | end)[order], word << 32 | n[order]]
-        out = [pa.array(c) for c in columns] + [pa.array(c[head], mask=~later) for c in (doc, word)]
+        out = [pa.array(c[back]) for c in columns] + [pa.array(c[head][back], mask=~later[back]) for c in (doc, word)]
         return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in _ROW.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, chunks, line_dedup, minhash, mixing, packing, quality, secrets, topk, urls
-from .common import cut, table
+from .common import table
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and the divergence verdict of every document. The texts are read once; what the references need is kept."""
+    """Base counts and the divergence verdict of every document; distances to six places."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    featured = cut(quality.features(docs, "q").select("doc_id", "q"))
-    return quality.verdicts(featured, "q", quality.references(featured, "q")).select("doc_id", "q.*")
+    judged = quality.judge(docs, quality.references(docs, table(spark, sf_dir, "labels")), "q").select("doc_id", "q.*")
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op2_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_quality_divergence": quality.SQL,
     "op2_winnow_lines": line_dedup.SQL,
     "op4_exact_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings

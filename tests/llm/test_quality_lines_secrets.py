@@ -50,18 +50,41 @@ def prose(rng, n=300):
     return " ".join(rng.choice(["the", "of", "and", "to", "in", "house", "water", "green", "walking", "thinker", "tables", "often"]) + ("." if rng.random() < 0.1 else "") for _ in range(n))
 
 
-def test_keeps_prose_and_rejects_junk(docs):
+def labels(spark, *rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_keeps_prose_and_rejects_junk(spark, docs):
     rng = random.Random(1)
     good = [(i, prose(rng)) for i in range(30)]
-    bad = [(100, " ".join(f"{rng.randrange(10**9)}$$" for _ in range(300))), (101, " ".join("QWZX%s!!" % rng.randrange(999) for _ in range(300)))]
-    kept = quality.keep_good(docs(*good, *bad))
+    bad = [(100 + i, " ".join(f"{rng.randrange(10**9)}$$" for _ in range(300))) for i in range(90)] + [(99, " ".join("QWZX%s!!" % rng.randrange(999) for _ in range(300)))]
+    told = labels(spark, *((i, 1, 0) for i in range(20)), (3, 1, 0), (None, 1, 0), (40, None, None), (100, 0, 0), (777, 1, 1))
+    kept = quality.keep_good(docs(*good, *bad), told)
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
     assert kept.columns == docs((1, "")).columns
+    assert quality.labelled(docs(*good), told, 5).count() == 5
+
+
+def test_quality_of_nothing(spark, docs):
+    none = labels(spark).filter("false")
+    assert quality.keep_good(docs((1, "x")).filter("false"), none).count() == 0
+    assert quality.keep_good(docs((1, None), (2, "")), labels(spark, (1, 1, 0))).count() == 0
+    assert quality.keep_good(docs((1, "w%d " * 60)), none).count() == 0 and quality.keep_good(docs((1, " ".join(map(str, range(60))))), none).count() == 1
 
 
-def test_quality_of_nothing(docs):
-    assert quality.keep_good(docs((1, "x")).filter("false")).count() == 0
-    assert quality.keep_good(docs((1, None), (2, ""))).count() == 0
+def test_quality_equals_sql(spark, docs):
+    """Odd texts, null and unknown languages, repeated rows and ids, judged by the SQL as well."""
+    import duckdb
+
+    rng = random.Random(21)
+    texts = TEXTS + [prose(rng, rng.randrange(40, 400)) for _ in range(40)] + [" ".join(rng.choice(["Der", "UND", "für", "FÜR", "x1", "$", "maß"]) for _ in range(rng.randrange(40, 120))) for _ in range(20)]
+    df = docs(*enumerate(texts), (0, None), (20, prose(rng))).withColumn("lang", F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("xx"), F.lit(None)), (F.col("doc_id") % 4 + 1).cast("int")))
+    told = labels(spark, *((i, i % 3 and 1, 0) for i in range(0, len(texts), 2)))
+    got = quality.judge(df, quality.references(df, told), "q").select("doc_id", "q.*").withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    c.register("labels", told.toPandas())
+    assert table_rows(got.toPandas()) == table_rows(c.execute(quality.SQL).fetchdf())
 
 
 def brute_lines(rows, span=line_dedup.WINDOW):
