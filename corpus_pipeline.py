@@ -12,7 +12,7 @@ from bytewright.llm.queries import tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
