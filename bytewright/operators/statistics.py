@@ -1,105 +1,234 @@
-"""Frequency statistics and code lengths, as hash aggregates.
+"""Frequency statistics and code lengths: one narrow pass over the documents, no shuffle.
+
+Counts never cross a document, so each Arrow batch is counted where it is: bytes with their contexts are packed into integers and
+sorted, and only counts, or one number a document, leave the task. Every row is a document of its own, whatever its id.
 
 An adaptive model codes a symbol with its weight before the update. Over a whole sequence the weights of one symbol run
 through 1, 2, .., n whatever the order, and the totals through 256, 257, ..; so the cost of an order-N model is a sum of log
-factorials of the counts by context, and needs no window over the positions. That holds until a table is rescaled, which
-no text of up to ``EXACT_BYTES`` bytes comes to; longer ones go through the sequential model in ``codec``.
+factorials of the counts by context. A table whose total exceeds ``MAX_FREQ`` is halved; the sum then holds between halvings, and a context
+that comes to one is taken piece by piece, each piece as a whole.
+
+Defined cases: empty content has no bytes, so no row where rows are counts or costs, and 256 weights of 1 in ``cumulative``; null
+content is as empty; a text of any length is one piece of work, in memory of some dozen times its size.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
 
-from ..functions.bytes import byte_characters, context_arrays
-from . import codec
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Weights are halved when their sum exceeds this.
 MAX_FREQ = 65536
-EXACT_BYTES = MAX_FREQ - 256 + 1
+#: Bytes counted at a time, longer documents alone.
+STEP = 1 << 21
+
+Counted = Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, ...]]
+
+
+def _narrow(df: DataFrame, columns: str, count: Counted) -> DataFrame:
+    """``(doc_id, columns)`` rows of ``df (doc_id, content)``.
+
+    ``count`` gets the bytes of some documents, each byte's document and place, and the number of documents; it returns each
+    row's document and the columns.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = pc.fill_null(batch.column("content").cast(pa.large_binary()), b"")
+            offsets = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
+            data = np.frombuffer(content.buffers()[2] or b"", np.uint8)
+            at = 0
+            while at < len(content):
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, "right")) - 1)
+                size = np.diff(offsets[at : end + 1])
+                doc = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(doc)) - np.repeat(offsets[at:end] - offsets[at], size)
+                owner, *values = count(data[offsets[at] : offsets[end]], doc, place, len(size))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at:end].take(pa.array(owner)), *map(pa.array, values)], ["doc_id", *names])
+                at = end
+
+    return df.mapInArrow(rows, f"doc_id bigint, {columns}")
+
+
+def _table(data: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Counts by document and byte."""
+    return np.bincount(doc << 8 | data, minlength=256 * n).reshape(n, 256)
 
 
 def histogram(df: DataFrame) -> DataFrame:
-    """``(doc_id, b, cnt)`` of ``df (doc_id, content)``. Counts combine on the map side: 256 rows a document are shuffled at most."""
-    rows = byte_characters(df).groupBy("doc_id", "c").agg(F.count("*").alias("cnt"))
-    return rows.select("doc_id", F.ascii("c").alias("b"), "cnt")
+    """``(doc_id, b, cnt)`` of ``df (doc_id, content)``."""
+
+    def count(data, doc, place, n):
+        table = _table(data, doc, n)
+        owner, b = np.nonzero(table)
+        return owner, b.astype(np.int32), table[owner, b]
+
+    return _narrow(df, "b int, cnt bigint", count)
 
 
 def cumulative(df: DataFrame) -> DataFrame:
     """``(doc_id, b, weight, cum_freq, total)`` for all 256 symbols: counts plus one, and the weights of all smaller symbols."""
-    counts = histogram(df).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "cnt"))).alias("m"))
-    every = df.select("doc_id").join(counts, "doc_id", "left").select("doc_id", "m", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("b"))
-    rows = every.select("doc_id", "b", (F.coalesce(F.try_element_at("m", "b"), F.lit(0)) + 1).cast("bigint").alias("weight"))
-    w = Window.partitionBy("doc_id").orderBy("b")
-    before = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("doc_id", "b", "weight", before.alias("cum_freq"), F.sum("weight").over(Window.partitionBy("doc_id")).alias("total"))
 
+    def count(data, doc, place, n):
+        weight = _table(data, doc, n) + 1
+        sums = weight.cumsum(1)
+        return np.repeat(np.arange(n), 256), np.tile(np.arange(256, dtype=np.int32), n), weight.ravel(), (sums - weight).ravel(), np.repeat(sums[:, -1], 256)
 
-def rescaled(weights: Column, limit: int = MAX_FREQ) -> Column:
-    """An array of weights, halved upwards as often as it takes for their sum to be below ``limit``."""
-    total = lambda w: F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    halved = lambda w: F.transform(w, lambda x: x - F.shiftright(x, 1))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), weights, lambda w, _: F.when(total(w) < limit, w).otherwise(halved(w)))
+    return _narrow(df, "b int, weight bigint, cum_freq bigint, total bigint", count)
 
 
 def entropy(df: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, bits_per_byte)``: the order-0 entropy of each document."""
-    h = histogram(df).groupBy("doc_id").agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.log2(F.col("cnt").cast("double"))).alias("s"))
-    return h.select("doc_id", F.col("n").alias("n_bytes"), (F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias("bits_per_byte"))
+
+    def count(data, doc, place, n):
+        table = _table(data, doc, n)
+        size = table.sum(1)
+        some = np.flatnonzero(size)
+        table, size = table[some], size[some]
+        return some, size, np.log2(size) - (table * np.log2(np.maximum(table, 1))).sum(1) / size
+
+    return _narrow(df, "n_bytes bigint, bits_per_byte double", count)
+
+
+def rescaled(weights: np.ndarray, limit: int) -> np.ndarray:
+    """Weights halved upwards as often as it takes for their sum to be below ``limit``."""
+    while weights.sum() >= limit:
+        weights = weights - (weights >> 1)
+    return weights
+
+
+def fixed_bits(df: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, bits)`` under the static order-0 model: counts plus one, halved while too large; without its table."""
+
+    def count(data, doc, place, n):
+        table = _table(data, doc, n)
+        size = table.sum(1)
+        some = np.flatnonzero(size)
+        weights = np.array([rescaled(table[i] + 1, MAX_FREQ) for i in some]).reshape(len(some), 256)
+        return some, size[some], (table[some] * np.log2(weights.sum(1, keepdims=True) / weights)).sum(1)
+
+    return _narrow(df, "n_bytes bigint, bits double", count)
+
+
+def contexts(data: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """At every byte the ``order`` bytes before it, the newest lowest, zeros before the start."""
+    out = np.zeros(len(data), np.int64)
+    for k in range(1, order + 1):
+        before = np.zeros(len(data), np.int64)
+        before[k:] = data[:-k]
+        out |= np.where(place >= k, before, 0) << (8 * (k - 1))
+    return out
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and their counts."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key)))
 
 
 def context_counts(df: DataFrame, order: int) -> DataFrame:
-    """``(doc_id, c1 .., b, cnt)``: how often each byte follows each context of ``order`` bytes."""
-    names = [f"c{k}" for k in range(1, order + 1)]
-    rows = df.select("doc_id", F.explode(context_arrays(F.col("content"), order)).alias("z")).select("doc_id", "z.*")
-    counts = rows.groupBy("doc_id", *names, "c").agg(F.count("*").alias("cnt"))
-    return counts.select("doc_id", *[F.ascii(n).alias(n) for n in names], F.ascii("c").alias("b"), "cnt")
+    """``(doc_id, c1 .., b, cnt)``: how often each byte follows each context of ``order`` bytes, up to 3."""
+
+    def count(data, doc, place, n):
+        key, counts = _counted(doc << 32 | contexts(data, place, order) << 8 | data)
+        parts = [(key >> (8 * (k + 1)) & 255).astype(np.int32) for k in range(order)]
+        return key >> 32, *parts, (key & 255).astype(np.int32), counts
+
+    return _narrow(df, "".join(f"c{k} int, " for k in range(1, order + 1)) + "b int, cnt bigint", count)
+
+
+#: log2(n!) for all counts of a table that is never halved, and the sums of such weights.
+_LOG2_FACTORIAL = np.append(0, np.cumsum(np.log2(np.arange(1, MAX_FREQ + 2, dtype=float))))
 
 
-def log2_factorial(n: Column) -> Column:
-    """log2(n!): exact factorials up to 20, Stirling's series beyond, right to about 1e-14 of the value."""
-    x = n.cast("double") + 1
-    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(n <= 20, F.log2(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series / math.log(2))
+def _halved_cost(symbols: np.ndarray) -> float:
+    """Bits of one context's symbols, a piece between two halvings of its table at a time."""
+    weights, at, bits = np.ones(256, np.int64), 0, 0.0
+    while at < len(symbols):
+        total = int(weights.sum())
+        piece = np.bincount(symbols[at : at + MAX_FREQ + 1 - total], minlength=256)
+        n = int(piece.sum())
+        bits += _LOG2_FACTORIAL[total + n - 1] - _LOG2_FACTORIAL[total - 1] - (_LOG2_FACTORIAL[weights + piece - 1] - _LOG2_FACTORIAL[weights - 1]).sum()
+        weights = weights + piece
+        if weights.sum() > MAX_FREQ:
+            weights = weights - (weights >> 1)
+        at += n
+    return float(bits)
 
 
 def adaptive_bits(df: DataFrame, order: int) -> DataFrame:
     """``(doc_id, n_bytes, bits)``: the code length of each document of ``df (doc_id, content)`` under the adaptive order-N model."""
-    short = df.filter(F.octet_length("content") <= EXACT_BYTES)
-    long = df.filter(F.octet_length("content") > EXACT_BYTES)
-    counts = context_counts(short, order) if order else histogram(short)
-    leaf = counts.groupBy("doc_id", *[f"c{k}" for k in range(1, order + 1)]).agg(F.sum("cnt").alias("n"), F.sum(log2_factorial(F.col("cnt"))).alias("own"))
-    cost = log2_factorial(F.col("n") + 255) - log2_factorial(F.lit(255)) - F.col("own")
-    exact = leaf.groupBy("doc_id").agg(F.sum("n").alias("n_bytes"), F.sum(cost).alias("bits"))
-    return exact.unionByName(long.mapInPandas(codec.cost_rows(f"O{order}"), "doc_id bigint, n_bytes bigint, bits double"))
 
-
-def fixed_bits(df: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, bits)`` under the static order-0 model: counts plus one, halved while too large; without its table."""
-    h = histogram(df).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "cnt"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("bigint")) + F.lit(1).cast("bigint"))
-    rows = h.select("doc_id", "m", rescaled(raw).alias("w")).select("doc_id", "w", F.explode("m").alias("b", "cnt"))
-    rows = rows.select("doc_id", "cnt", F.element_at("w", F.col("b") + 1).alias("weight"), F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
-    bits = F.sum(F.col("cnt") * F.log2(F.col("total") / F.col("weight")))
-    return rows.groupBy("doc_id").agg(F.sum("cnt").alias("n_bytes"), bits.alias("bits"))
+    def count(data, doc, place, n):
+        context = doc << 24 | contexts(data, place, order)
+        key, own = _counted(context << 8 | data)
+        first = np.flatnonzero(np.append(True, key[1:] >> 8 != key[:-1] >> 8)) if len(key) else np.zeros(0, np.int64)
+        which, total = key[first] >> 8, np.add.reduceat(own, first) if len(first) else own
+        halved = total > MAX_FREQ - 255
+        bits = np.zeros(n)
+        some = ~halved
+        np.add.at(bits, which[some] >> 24, _LOG2_FACTORIAL[total[some] + 255] - _LOG2_FACTORIAL[255])
+        kept = ~np.repeat(halved, np.diff(np.append(first, len(key))))
+        np.subtract.at(bits, key[kept] >> 32, _LOG2_FACTORIAL[own[kept]])
+        for c in which[halved]:
+            bits[c >> 24] += _halved_cost(data[context == c])
+        size = np.bincount(doc, minlength=n)
+        some = np.flatnonzero(size)
+        return some, size[some], bits[some]
+
+    return _narrow(df, "n_bytes bigint, bits double", count)
+
+
+def _before(key: np.ndarray) -> np.ndarray:
+    """How often each element's key came before it."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    first = np.maximum.accumulate(np.where(np.append(True, ordered[1:] != ordered[:-1]), np.arange(len(key)), 0)) if len(key) else order
+    out = np.empty(len(key), np.int64)
+    out[order] = np.arange(len(key)) - first
+    return out
+
+
+def _halved_weights(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Before each of one context's symbols its weight and the table's total; all weights are ``base`` at first, and halved beyond MAX_FREQ."""
+    weight, total = np.empty(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+    table, at = np.full(256, base, np.int64), 0
+    while at < len(symbols):
+        sum_ = int(table.sum())
+        piece = symbols[at : at + MAX_FREQ + 1 - sum_]
+        weight[at : at + len(piece)] = table[piece] + _before(piece.astype(np.int64))
+        total[at : at + len(piece)] = sum_ + np.arange(len(piece))
+        table = table + np.bincount(piece, minlength=256)
+        if table.sum() > MAX_FREQ:
+            table = table - (table >> 1)
+        at += len(piece)
+    return weight, total
 
 
 def mixed_bits(df: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, bits)``: each byte at the cost of the longest context of up to three bytes that has seen it before.
 
-    An estimate, as no escape is paid. The choice hangs on what came before, so this one takes running counts.
+    An estimate, as no escape is paid. Tables are halved as the adaptive model's are.
     """
-    rows = df.select("doc_id", F.posexplode(context_arrays(F.col("content"), 3)).alias("pos", "z")).select("doc_id", "pos", "z.*")
-
-    def before(*keys: str) -> Column:
-        w = Window.partitionBy("doc_id", *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        return F.count("*").over(w)
-
-    contexts = [("c1", "c2", "c3")[:k] for k in range(4)]
-    rows = rows.select("doc_id", *[x for k, c in enumerate(contexts) for x in (before(*c, "c").alias(f"w{k}"), before(*c).alias(f"t{k}"))])
-    cost = F.log2((F.col("t0") + 256) / (F.col("w0") + 1))
-    for k in (1, 2, 3):
-        cost = F.when(F.col(f"w{k}") > 0, F.log2(F.col(f"t{k}") / F.col(f"w{k}"))).otherwise(cost)
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_bytes"), F.sum(cost).alias("bits"))
+
+    def count(data, doc, place, n):
+        cost = np.zeros(len(data))
+        for order in range(4):
+            context, base = doc << 24 | contexts(data, place, order), int(order == 0)
+            weight, total = _before(context << 8 | data) + base, _before(context) + 256 * base
+            for c in np.unique(context[total > MAX_FREQ]):
+                at = np.flatnonzero(context == c)
+                weight[at], total[at] = _halved_weights(data[at], base)
+            seen = weight > 0
+            cost[seen] = np.log2(total[seen] / weight[seen])
+        size = np.bincount(doc, minlength=n)
+        some = np.flatnonzero(size)
+        return some, size[some], np.bincount(doc, cost, minlength=n)[some]
+
+    return _narrow(df, "n_bytes bigint, bits double", count)

@@ -2,7 +2,10 @@
 
 Block mode: blocks are cut, transformed and ranked in parallel, one row each. The model runs through a file's blocks in
 order, so the second stage has one task's work per file; ``independent_blocks`` lifts that. Stream mode codes whole files.
-Files are rows of ``(file_no, content)``; a grouping by ``file_no`` moves each file's blocks to one place.
+Files are rows of ``(file_no, content)``; a grouping by ``file_no`` moves each file's blocks to one place. How a file was coded is
+told by the rows themselves (``HOW``), so that decoding needs no parameters.
+
+Defined cases: an empty file has no blocks; null content is as empty; files that share a number are mixed up, so numbers must differ.
 """
 
 from __future__ import annotations
@@ -12,16 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import blocks
-from ..operators.codec import CorruptError, FileCodec
+from ..operators.codec import CorruptError, codec_of
 from ..operators.transforms import bwt, mtf, unbwt, unmtf
 from .parameters import Parameters
 
+#: Columns that tell how a file was coded.
+HOW = ["model", "block_mode", "independent_blocks"]
 CODED = "file_no bigint, block_no int, c_size int, u_size int, bwt_primary int, flags int, payload binary"
 
 
 def _coded(p: Parameters):
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        codec, out = FileCodec(p.model), []
+        codec, out = codec_of(p.model), []
         for r in pdf.sort_values("block_no").itertuples():
             payload = codec.encode(bytes(r.ranks))
             out.append((r.file_no, r.block_no, len(payload), len(r.ranks), r.bwt_primary, 0, payload))
@@ -58,17 +63,25 @@ def encode_files(files: DataFrame, p: Parameters) -> DataFrame:
     return _dealt(ranked, *keys).groupBy(*keys).applyInPandas(_coded(p), CODED)
 
 
-def decode_files(coded: DataFrame, p: Parameters) -> DataFrame:
-    """``(file_no, content, error)`` of coded blocks: the bytes, or what is wrong with them."""
+def told(df: DataFrame, p: Parameters) -> DataFrame:
+    """``df`` with the columns ``HOW``."""
+    return df.withColumns({c: F.lit(getattr(p, c)) for c in HOW})
+
+
+def decode_files(coded: DataFrame) -> DataFrame:
+    """``(file_no, content, error)`` of coded blocks with the columns ``HOW``: the bytes, or what is wrong with them."""
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        codec, parts, error = FileCodec(p.model), [], None
-        for r in pdf.sort_values("block_no").itertuples():
-            if p.independent_blocks:
-                codec = FileCodec(p.model)
+        model, block_mode, independent = pdf[HOW].iloc[0]
+        codec, parts, error = None, [], None
+        for expected, r in enumerate(pdf.sort_values("block_no").itertuples()):
+            if codec is None or independent:
+                codec = codec_of(model)
             try:
+                if r.block_no != expected:
+                    raise CorruptError("not the next block")
                 data = codec.decode(bytes(r.payload), r.u_size)
-                parts.append(unbwt(unmtf(data), r.bwt_primary) if p.block_mode else data)
+                parts.append(unbwt(unmtf(data), r.bwt_primary) if block_mode else data)
             except (CorruptError, ValueError, IndexError) as e:
                 error = f"block {r.block_no}: {e}"
                 break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from ..functions.scalars import CODERS, MODELS
-from ..operators.codec import ORDERS
+from ..operators.codec import REGISTRY
 
 #: Coders that exist: plain, range (three names of one coder), bitwise.
 RANGE_CODERS = ("ARI", "ARI32", "ARI64")
@@ -26,7 +26,7 @@ class Parameters:
     def __post_init__(self) -> None:
         if self.model not in MODELS or self.coder not in CODERS:
             raise ValueError(f"unknown model or coder: {self.model}, {self.coder}")
-        if self.model not in ORDERS and self.model not in ("O0FIX", "O1FPAQ"):
+        if self.model not in REGISTRY:
             raise ValueError(f"model {self.model} only estimates; nothing could decode it")
         if (self.coder == BIT_CODER) != (self.model == "O1FPAQ"):
             raise ValueError("the bit coder ARIFPAQ and the bit model O1FPAQ go together only")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .functions.bytes import blocks, content
+from .functions.bytes import blocks, content, decoded, encoded
 from .operators import statistics as M
 from .operators import transforms as T
-from .plans.compress import decode_files, encode_files
+from .plans.compress import decode_files, encode_files, told
 from .plans.parameters import Parameters
 from .sources import archive as A
 from .sources.files import table_files
@@ -64,7 +64,7 @@ def order0_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: size, adaptive order-0 estimate and ratio of every document."""
     bits = M.adaptive_bits(documents(spark, sf_dir), 0)
     size = F.col("bits") / 8
-    return bits.select("doc_id", F.col("n_bytes").cast("bigint").alias("file_size"), F.round(size, 2).alias("est_bytes"), F.round(F.col("n_bytes") / size, 3).alias("ratio"))
+    return bits.select("doc_id", F.col("n_bytes").cast("bigint").alias("file_size"), F.round(size, 2).alias("est_bytes"), F.round(S.ratio(F.col("n_bytes"), size), 3).alias("ratio"))
 
 
 @query(_BYTES + "select doc_id, b, count(*) as cnt from y group by doc_id, b")
@@ -159,14 +159,51 @@ def block_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("file_no").agg(F.count("*").alias("block_count"), F.sum("u").cast("bigint").alias("file_size"), F.min("u").cast("bigint").alias("smallest"))
 
 
-@query("with " + _CATALOG + "select file_no, case when length(file_name) > 10 then left(file_name, 7) || '...' else file_name end as name, replace(format('{:,}', file_size), ',', ' ') as size, "
-       "replace(format('{:,}', block_size), ',', ' ') as block_size, replace(format('{:,}', block_count), ',', ' ') as blocks, coder, model, round(file_size / 1024.0, 2)::double as ratio from c")
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts as files of ten names, so that names repeat."""
+    files = table_files(table(spark, sf_dir, "benchmark"), "item_id", "text", "item")
+    return files.withColumn("file_name", F.concat(F.lit("item"), (F.col("file_no") % 10).cast("string"), F.lit(".txt")))
+
+
+_PLAIN = Parameters(model="O0", block_mode=False)
+_ITEMS = "i as (select item_id as file_no, 'item' || item_id % 10 || '.txt' as file_name, coalesce(text, '') as text from benchmark) "
+_ITEM_NAMES = ["item3.txt", "item5.txt", "item9.txt"]
+
+
+@query("with " + _ITEMS + "select file_no, file_name, octet_length(encode(text))::bigint as file_size, (text <> '')::int as block_count, 'ARI' as coder, 'O0' as model, 65536 as block_size, "
+       "false as block_mode, false as independent_blocks, true as shrunk from i")
+def archive_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog of a packed archive."""
+    c = A.Archive.of(_items(spark, sf_dir), _PLAIN).catalog
+    return c.select("file_no", "file_name", "file_size", "block_count", "coder", "model", "block_size", "block_mode", "independent_blocks", (F.col("compressed_size") <= F.col("file_size")).alias("shrunk"))
+
+
+@query("with " + _ITEMS + "select file_no, file_name as name, replace(format('{:,}', octet_length(encode(text))), ',', ' ') as size, '65 536' as block_size, "
+       "(text <> '')::int::varchar as blocks, 'ARI' as coder, 'O0' as model, null::varchar as modified from i")
 def archive_listing_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _catalog(spark, sf_dir)
-    return c.select(
-        "file_no", S.ellipsis(F.col("file_name"), 10).alias("name"), S.thousands(F.col("file_size")).alias("size"), S.thousands(F.col("block_size")).alias("block_size"),
-        S.thousands(F.col("block_count")).alias("blocks"), "coder", "model", F.round(S.ratio(F.col("file_size"), F.lit(1024)), 2).alias("ratio"),
-    )
+    """The listing of a packed archive, but for what hangs on the coder."""
+    return A.Archive.of(_items(spark, sf_dir), _PLAIN).list_files().select("file_no", "name", "size", "block_size", "blocks", "coder", "model", "modified")
+
+
+@query("with " + _ITEMS + "select min(file_no) as file_no, file_name, sha256(arg_min(text, file_no)) as sha from i where file_name in ('" + "', '".join(_ITEM_NAMES) + "') group by file_name")
+def archive_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first file of each name, decoded."""
+    return A.Archive.of(_items(spark, sf_dir), _PLAIN).extract(_ITEM_NAMES).select("file_no", "file_name", F.sha2("content", 256).alias("sha"))
+
+
+@query("with " + _ITEMS + "select file_no, file_name, file_no % 7 <> 3 or text = '' as ok from i")
+def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh payload is spoiled, and found out by its checksum or the decoder."""
+    whole = A.Archive.of(_items(spark, sf_dir), _PLAIN)
+    payload = F.when(F.col("file_no") % 7 == 3, F.concat(F.unhex(F.lit("5A")), F.col("payload"))).otherwise(F.col("payload"))
+    return A.Archive(whole.catalog, whole.blocks.withColumn("payload", payload)).verify().select("file_no", "file_name", "ok")
+
+
+@query("with " + _ITEMS + "select file_no, file_name, octet_length(encode(text))::bigint as file_size, sha256(text) as sha from i where file_name not in ('" + "', '".join(_ITEM_NAMES) + "')")
+def archive_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after all files of some names have gone, decoded."""
+    left = A.Archive.of(_items(spark, sf_dir), _PLAIN).delete([*_ITEM_NAMES, "none"])
+    return left.unpack().select("file_no", "file_name", "file_size", F.sha2("content", 256).alias("sha"))
 
 
 def _names(spark: SparkSession) -> DataFrame:
@@ -204,14 +241,14 @@ def bwt_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bwt_by_window(benchmark(spark, sf_dir))
 
 
-@query("with d as (select item_id as doc_id, hex(encode(text)) as h from benchmark), "
-       "s as (select doc_id, i::int as i, substr(h, 2 * i::int + 1) as suffix, h from d, lateral unnest(range(length(h) // 2 + 1)) t(i)), "
-       "r as (select doc_id, row_number() over (partition by doc_id order by suffix) as k, substr(h, 2 * i - 1, 2) as before, i from s) "
-       "select doc_id, (max(k) filter (i = 0) - 1)::int as primary, md5(coalesce(string_agg(before, '' order by k) filter (i > 0), '')) as digest from r group by doc_id")
+@query(_HEX + "k as (select doc_id, i::int as block_no, substr(h, i::int * 512 + 1, 512) as h from d, lateral unnest(range((length(h) // 2 + 255) // 256)) t(i)), "
+       "s as (select doc_id, block_no, i::int as i, substr(h, 2 * i::int + 1) as suffix, h from k, lateral unnest(range(length(h) // 2 + 1)) t(i)), "
+       "r as (select doc_id, block_no, row_number() over (partition by doc_id, block_no order by suffix) as k, substr(h, 2 * i - 1, 2) as before, i from s) "
+       "select doc_id, block_no, (max(k) filter (i = 0) - 1)::int as primary, md5(coalesce(string_agg(before, '' order by k) filter (i > 0), '')) as digest from r group by doc_id, block_no")
 def bwt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transform by Arrow batches, over whole texts as blocks."""
-    rows = T.bwt_blocks(benchmark(spark, sf_dir).withColumnRenamed("content", "block"))
-    return rows.select("doc_id", F.col("bwt_primary").alias("primary"), F.md5(F.hex("bwt").cast("binary")).alias("digest"))
+    """The transform by Arrow batches, over all documents in blocks of 256 bytes."""
+    rows = T.bwt_blocks(blocks(documents(spark, sf_dir), 256))
+    return rows.select("doc_id", "block_no", F.col("bwt_primary").alias("primary"), F.md5(F.hex("bwt").cast("binary")).alias("digest"))
 
 
 _MTF = """with recursive d as (select item_id as doc_id, hex(encode(text)) as h from benchmark),
@@ -236,12 +273,19 @@ def mtf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.octet_length("ranks").alias("n"), F.md5(F.hex("ranks").cast("binary")).alias("digest"))
 
 
-@query("select doc_id, octet_length(encode(coalesce(text, '')))::int as n_bytes, true as lossless from documents where text <> ''")
+@query()
 def bwt_mtf_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by recency rank after the transform of every document's blocks; tests hold it against brute force."""
+    ranked = T.mtf_blocks(T.bwt_blocks(blocks(documents(spark, sf_dir))))
+    return M.histogram(ranked.select("doc_id", F.col("ranks").alias("content"))).groupBy("doc_id", F.col("b").alias("rank")).agg(F.sum("cnt").alias("cnt"))
+
+
+@query(_HEX + "k as (select doc_id, i::int as block_no, substr(h, i::int * 8192 + 1, 8192) as x from d, lateral unnest(range((length(h) // 2 + 4095) // 4096)) t(i)) "
+       "select doc_id, block_no, md5(x) as digest from k")
+def bwt_mtf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transform and ranks of every document's blocks, undone again."""
-    rows = T.unbwt_blocks(T.unmtf_blocks(T.mtf_blocks(T.bwt_blocks(blocks(documents(spark, sf_dir))))).withColumn("bwt", F.col("symbols")))
-    same = F.every(F.col("plain") == F.col("block"))
-    return rows.groupBy("doc_id").agg(F.sum(F.octet_length("plain")).cast("int").alias("n_bytes"), same.alias("lossless"))
+    rows = T.unbwt_blocks(T.unmtf_blocks(T.mtf_blocks(T.bwt_blocks(blocks(documents(spark, sf_dir), 4096)))).withColumn("bwt", F.col("symbols")))
+    return rows.select("doc_id", "block_no", F.md5(F.hex("plain").cast("binary")).alias("digest"))
 
 
 @query("select doc_id, list_filter(string_split(lang || ';' || source || ';;' || n_chars, ';'), lambda x: x <> '') as parts from documents")
@@ -278,14 +322,13 @@ def millis_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select event_id, ((year(ts) - 1980)::bigint << 25) | (month(ts) << 21) | (day(ts) << 16) | (hour(ts) << 11) | (minute(ts) << 5) | second(ts) as packed, "
-       "year(ts)::int as year, month(ts)::int as month, day(ts)::int as day, hour(ts)::int as hour, minute(ts)::int as minute, ((second(ts) & 31) * 2)::int as second, strftime(ts, '%Y-%m-%d %H:%M:%S') as txt from "
+       "year(ts)::int as year, month(ts)::int as month, day(ts)::int as day, hour(ts)::int as hour, ((packed >> 5) & 63)::int as minute, ((second(ts) & 31) * 2)::int as second, strftime(ts, '%Y-%m-%d %H:%M:%S') as txt from "
        "(select event_id, ts from events)")
 def dos_time_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed and unpacked again. As in the reader, stored seconds count double; beyond 31 they run into the minutes' bits."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", S.dos_time(F.col("ts")).alias("packed"))
     f = e.select("*", S.dos_time_fields(F.col("packed")).alias("f"))
-    minute = F.minute("ts")  # the packed minute's lowest bit may be taken by the seconds
-    return f.select("event_id", "packed", "f.year", "f.month", "f.day", "f.hour", minute.alias("minute"), "f.second", S.timestamp_text(F.col("ts")).alias("txt"))
+    return f.select("event_id", "packed", "f.year", "f.month", "f.day", "f.hour", "f.minute", "f.second", S.timestamp_text(F.col("ts")).alias("txt"))
 
 
 @query("select page_id, regexp_extract(url, '([^/\\\\]*)$', 1) as file_name, regexp_extract(url, '^(.*[/\\\\])?[^/\\\\]*$', 1) as dir, upper(trim(url)) as upper_url, page_id % 2 = 1 as flag, "
@@ -313,11 +356,12 @@ def plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _round_trip(name: str, p: Parameters, source: str, id_: str, text: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         files = table_files(table(spark, sf_dir, source), id_, text, "f").select("file_no", "content")
-        plain = decode_files(encode_files(files, p), p)
-        return plain.select("file_no", F.sha2("content", 256).alias("sha"))
+        plain = decode_files(told(encode_files(files, p), p)).withColumn("coded", F.lit(True))
+        content = F.when(F.col("coded").isNull(), F.lit(b"")).otherwise(F.col("content"))  # an empty file has no blocks
+        return files.select("file_no").join(plain, "file_no", "left").select("file_no", F.sha2(content, 256).alias("sha"))
 
     run.__name__ = name
-    query(f"select {id_} as file_no, sha256({text}) as sha from {source} where {text} <> ''")(run)
+    query(f"select {id_} as file_no, sha256(coalesce({text}, '')) as sha from {source}")(run)
 
 
 _round_trip("codec_roundtrip", Parameters(), "documents", "doc_id", "text")
@@ -328,16 +372,67 @@ _round_trip("codec_roundtrip_o1", Parameters(model="O1"), "benchmark", "item_id"
 _round_trip("codec_roundtrip_o3", Parameters(model="O3", coder="ARI64", block_mode=False), "benchmark", "item_id", "text")
 
 
-@query()
+@query("with d as (select item_id as file_no, hex(encode(coalesce(text, ''))) as h from benchmark), v as (select file_no, regexp_extract_all(h, '..') as p from d), "
+       "u as (select file_no, unnest(p) as b, generate_subscripts(p, 1) as pos from v), "
+       "z as (select file_no, log2((count(*) over (partition by file_no order by pos rows between unbounded preceding and 1 preceding) + 256.0) / "
+       "(count(*) over (partition by file_no, b order by pos rows between unbounded preceding and 1 preceding) + 1.0)) as c from u) "
+       "select file_no, count(*) as file_size, round(sum(c) / 8, 2) as ideal, true as near_ideal from z group by file_no")
 def compressed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the default coder makes of the benchmark texts, as a catalog listing."""
-    p = Parameters()
+    """What the coder makes of the benchmark texts, against the model's code length: at most two bytes more."""
     files = table_files(table(spark, sf_dir, "benchmark"), "item_id", "text", "item")
-    return A.listing(A.catalog_of(files, encode_files(files.select("file_no", "content"), p), p))
+    bits = M.adaptive_bits(files.select(F.col("file_no").alias("doc_id"), "content"), 0).select(F.col("doc_id").alias("file_no"), "bits")
+    rows = A.Archive.of(files, _PLAIN).catalog.join(bits, "file_no")
+    more = F.col("compressed_size") - F.col("bits") / 8
+    return rows.select("file_no", "file_size", F.round(F.col("bits") / 8, 2).alias("ideal"), more.between(-0.01, 2).alias("near_ideal"))
 
 
-@query()
+@query("with s as (select page_id as file_no, octet_length(encode(coalesce(html, '')))::bigint as n from pages), "
+       "k as (select file_no, i::int as block_no, least(4096, n - i * 4096)::int as u_size from s, lateral unnest(range((n + 4095) // 4096)) t(i)) "
+       "select file_no, block_no, u_size, 0 as flags, true as shrunk, true as row_fits from k")
 def compressed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The block listing of the pages."""
+    """The block listing of the pages, what hangs on coder and transform by its bounds."""
     files = table_files(table(spark, sf_dir, "pages"), "page_id", "html", "page").select("file_no", "content")
-    return A.block_listing(encode_files(files, Parameters(model="O1", block_size=4096)))
+    rows = A.block_listing(encode_files(files, Parameters(model="O1", block_size=4096)))
+    fits = F.col("bwt_primary").between(1, F.col("u_size"))
+    return rows.select("file_no", "block_no", "u_size", "flags", (F.col("c_size") <= F.col("u_size") + 2).alias("shrunk"), fits.alias("row_fits"))
+
+
+@query("select p_partkey, (p_partkey % 10)::int as model, (p_partkey % 9)::int as coder, ((p_partkey % 10)::int = 0) as unknown from part")
+def parse_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of model and coder names, in any case and with spaces around."""
+    pick = lambda names: F.element_at(F.array(*[F.lit(f" {n.lower()}") for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", S.parse_model(pick(S.MODELS)).alias("model"), S.parse_coder(pick(S.CODERS)).alias("coder"))
+    return rows.withColumn("unknown", F.col("model") == 0)
+
+
+@query("select doc_id, [coalesce(lang, ''), coalesce(source, ''), doc_id::varchar] as names from documents")
+def delete_list_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names out of a list that ends with an empty one."""
+    s = F.concat_ws("\0", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.col("doc_id").cast("string"), F.lit(""), F.lit("behind"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.delete_list(s).alias("names"))
+
+
+@query("select p_partkey, list_transform([7, 6, 5, 4, 3, 2, 1, 0], lambda i: ((p_partkey % 256)::int >> i) & 1 = 1) as bits from part")
+def symbol_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", S.symbol_bits((F.col("p_partkey") % 256).cast("int")).alias("bits"))
+
+
+@query("select p_partkey, (p_partkey % 18 + 9)::int as code, case p_partkey % 18 + 9 " + " ".join(f"when {k} then '{v}'" for k, v in S.ERRORS.items())
+       + " else 'Unknown error code (' || (p_partkey % 18 + 9) || ')' end as message from part")
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fifteen messages, and codes on both sides of them."""
+    code = (F.col("p_partkey") % 18 + 9).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), S.error_message(code).alias("message"))
+
+
+@query("select doc_id, (length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[\\x{0}-\\x{FFFF}]', '', 'g')))::int as units, md5(coalesce(text, '')) as digest, "
+       "length(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g'))::int as letters from documents")
+def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as UTF-16 and back, and their letters through a one-byte code page."""
+    t = F.coalesce("text", F.lit(""))
+    wide = encoded(t, "UTF-16LE")
+    page = decoded(encoded(F.regexp_replace(t, "[^a-zA-Z]", "\u00e9"), "cp437"), "cp437")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.floor(F.octet_length(wide) / 2).cast("int").alias("units"), F.md5(F.encode(decoded(wide, "UTF-16LE"), "UTF-8")).alias("digest"),
+        F.length(F.replace(page, F.lit("\u00e9"), F.lit(""))).alias("letters"),
+    )

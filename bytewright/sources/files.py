@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(file_no, file_name, modified, content)`` of files, by Spark's binary source.
 
-    Numbers follow the order of the paths. An empty list, or a path that isn't there, is an error.
+    Files are numbered in the order of ``paths``, which must name files; a path that is given twice is two files. An empty list, or a path that
+    isn't there, is an error. The list is numbered on the driver and joined by path, so contents stay where they are read.
     """
     if not paths:
         raise ValueError("no files")
-    found = spark.read.format("binaryFile").load(paths)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def whole(path: str) -> str:
+        p = hadoop.Path(path)
+        return p.getFileSystem(conf).makeQualified(p).toString()
+
+    numbered = spark.createDataFrame([(i, whole(p)) for i, p in enumerate(paths)], "file_no bigint, path string")
+    found = spark.read.format("binaryFile").load(list(dict.fromkeys(paths)))
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)
-    order = Window.orderBy("path")
-    rows = found.select((F.row_number().over(order) - 1).cast("bigint").alias("file_no"), name.alias("file_name"), F.col("modificationTime").alias("modified"), "content")
-    return rows
+    return found.join(F.broadcast(numbered), "path").select("file_no", name.alias("file_name"), F.col("modificationTime").alias("modified"), "content")
 
 
 def table_files(df: DataFrame, id_: str, text: str, prefix: str) -> DataFrame:

@@ -1,19 +1,26 @@
 """Queries against their SQL, archives end to end, edge cases."""
 
 import datetime
+import math
+import random
+import zlib
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from bytewright import queries as engine
 from bytewright.functions import scalars as S
+from bytewright.operators import codec
 from bytewright.operators import statistics as M
-from bytewright.operators.codec import Adaptive
+from bytewright.operators.codec import Adaptive, Fixed
 from bytewright.plans.parameters import Parameters
-from bytewright.sources.archive import Archive
+from bytewright.sources.archive import Archive, ArchiveFolder
 from bytewright.sources.files import scan_files, table_files
 from bytewright.streaming.histogram import windowed_histogram
 
@@ -43,44 +50,124 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 200
 
 
-def test_long_text_takes_the_sequential_model(spark):
-    data = b"ab" * 40_000
+def sequential_mixed(data):
+    """The mixed estimate symbol by symbol, with tables that halve."""
+    tables, bits = {}, 0.0
+    for i, s in enumerate(data):
+        cost = None
+        for order in (3, 2, 1, 0):
+            key = (order, bytes(max(0, order - i)) + data[max(0, i - order) : i])
+            t = tables.setdefault(key, [1] * 256 if order == 0 else [0] * 256)
+            if cost is None and t[s]:
+                cost = math.log2(sum(t) / t[s])
+        for order in range(4):
+            t = tables[(order, bytes(max(0, order - i)) + data[max(0, i - order) : i])]
+            t[s] += 1
+            if sum(t) > M.MAX_FREQ:
+                t[:] = [w - (w >> 1) for w in t]
+        bits += cost
+    return bits
+
+
+def test_halving(spark, monkeypatch):
+    """Documents whose tables are halved many times, against the sequential models. A low limit makes them short."""
+    rng = random.Random(3)
+    monkeypatch.setattr(M, "MAX_FREQ", 600)
+    monkeypatch.setattr(codec, "MAX_FREQ", 600)
+    data = [bytes(rng.choices(range(97, 101), [8, 4, 2, 1], k=n)) for n in (0, 344, 345, 346, 900, 4000)] + [b"a" * 2000, b"ab" * 1500]
+    frame = pa.record_batch([pa.array(range(len(data)), pa.int64()), pa.array(data, pa.binary())], ["doc_id", "content"])
+
+    class Local:
+        """Stands for a DataFrame, so that the limits set above hold where the batches are counted."""
+
+        def mapInArrow(self, rows, schema):
+            return pa.Table.from_batches(list(rows(iter([frame])))).to_pylist()
+
+    for order in range(4):
+        got = {r["doc_id"]: r["bits"] for r in M.adaptive_bits(Local(), order)}
+        for i, d in enumerate(data):
+            m = Adaptive(order)
+            assert got.get(i, 0) == pytest.approx(sum(m.cost(s) for s in d))
+    got = {r["doc_id"]: r["bits"] for r in M.mixed_bits(Local())}
+    assert all(got.get(i, 0) == pytest.approx(sequential_mixed(d)) for i, d in enumerate(data))
+    assert {r["doc_id"]: r["bits"] for r in M.fixed_bits(Local())}[5] == pytest.approx(sum(math.log2(sum(w) / w[s]) for w in [Fixed.of(data[5]).w] for s in data[5]))
+
+
+def test_halving_of_long_text(spark):
+    data = b"ab" * 80_000
     df = spark.createDataFrame([(1, bytearray(data))], "doc_id long, content binary")
-    m = Adaptive(1)
-    assert M.adaptive_bits(df, 1).first()["bits"] == pytest.approx(sum(m.cost(s) for s in data))
+    for order in (0, 1):
+        m = Adaptive(order)
+        assert M.adaptive_bits(df, order).first()["bits"] == pytest.approx(sum(m.cost(s) for s in data))
 
 
-def test_rescale_halves_at_equality(spark):
-    w = spark.range(1).select(M.rescaled(F.array(F.lit(3).cast("bigint"), F.lit(5).cast("bigint")), 8).alias("w")).first()["w"]
-    assert w == [2, 3]
+def test_rescale_halves_at_equality():
+    assert M.rescaled(np.array([3, 5]), 8).tolist() == [2, 3]
 
 
-@pytest.mark.parametrize("p", [Parameters(block_size=1000), Parameters(model="O1", block_mode=False), Parameters(independent_blocks=True, block_size=1000)])
+def test_small_steps_count_alike(spark, monkeypatch):
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("content")).limit(30)
+    whole = rows(M.context_counts(df, 2).toPandas())
+    monkeypatch.setattr(M, "STEP", 5000)
+    assert rows(M.context_counts(df, 2).toPandas()) == whole
+
+
+def test_rank_histogram(spark):
+    from collections import Counter
+
+    from bytewright.operators import transforms
+
+    want = {}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        data = (r["text"] or "").encode()
+        for at in range(0, len(data), 65536):
+            want[r["doc_id"]] = want.get(r["doc_id"], Counter()) + Counter(transforms.mtf(transforms.bwt(data[at : at + 65536])[0]))
+    got = {}
+    for r in engine.QUERIES["bwt_mtf_histogram"](spark, DATA).collect():
+        got.setdefault(r["doc_id"], Counter())[r["rank"]] = r["cnt"]
+    assert got == want
+
+
+@pytest.mark.parametrize("p", [Parameters(block_size=1000), Parameters(model="O1", block_mode=False), Parameters(independent_blocks=True, block_size=1000), Parameters(model="O0FIX", block_mode=False)])
 def test_archive(spark, tmp_path, p):
+    """Every archive is opened again without its parameters, and changed where it stands."""
     texts = [(0, "a" * 2500), (1, ""), (2, "é x"), (3, "b" * 1000)]
     files = table_files(spark.createDataFrame(texts, "id long, text string"), "id", "text", "f").withColumn("file_name", F.when(F.col("file_no") == 3, "f0.txt").otherwise(F.col("file_name")))
-    a = Archive(spark, f"{tmp_path}/a", p).pack(files)
+    folder = ArchiveFolder(spark, f"{tmp_path}/a")
+    with pytest.raises(FileNotFoundError):
+        folder.open()
+    folder.pack(files, p)
+    a = ArchiveFolder(spark, f"{tmp_path}/a").open()
     assert {r["file_no"]: bytes(r["content"]).decode() for r in a.unpack().collect()} == dict(texts)
     assert all(r["ok"] for r in a.verify().collect())
+    assert {r["file_no"]: r["crc32"] for r in a.catalog.collect()} == {i: zlib.crc32(t.encode()) for i, t in texts}
     assert {r["file_no"]: r["block_count"] for r in a.catalog.collect()} == ({0: 3, 1: 0, 2: 1, 3: 1} if p.block_mode else {0: 1, 1: 0, 2: 1, 3: 1})
+    assert {r["file_no"]: r["compressed_size"] for r in a.catalog.collect()} == {1: 0} | {r["file_no"]: r["n"] for r in a.blocks.groupBy("file_no").agg(F.sum(F.octet_length("payload")).alias("n")).collect()}
     assert [(r["file_no"], bytes(r["content"])) for r in a.extract(["f0.txt"]).collect()] == [(0, b"a" * 2500)]
     with pytest.raises(FileNotFoundError):
         a.extract(["f0.txt", "none"])
-    b = a.delete(["f0.txt", "none"], f"{tmp_path}/b")
-    assert sorted(r["file_no"] for r in b.list_files().collect()) == [1, 2]
-    assert b.list_blocks().count() == 1
     with pytest.raises(FileNotFoundError):
-        a.delete_one("none", f"{tmp_path}/c")
-
-
-def test_corrupt_block_is_reported(spark, tmp_path):
+        a.delete_one("none")
+    folder.write(a.delete(["f0.txt", "none"]))
+    b = folder.open()
+    assert sorted(r["file_no"] for r in b.list_files().collect()) == [1, 2] and b.list_blocks().count() == 1
+    assert a.list_files().count() == 4  # what was opened before stays
+    (tmp_path / "a" / "v3" / "blocks").mkdir(parents=True)  # a pack that died
+    assert folder.open().list_files().count() == 2
+    folder.write(folder.open().delete_one("f2.txt"))
+    folder.vacuum()
+    assert sorted(x.name for x in (tmp_path / "a").iterdir()) == ["v4"] and [r["file_no"] for r in folder.open().unpack().collect()] == [1]
+
+
+def test_corrupt_block_is_reported(spark):
     files = table_files(spark.createDataFrame([(0, "some text to spoil " * 20)], "id long, text string"), "id", "text", "f")
-    a = Archive(spark, f"{tmp_path}/a").pack(files)
-    spoiled = Archive(spark, f"{tmp_path}/b")
-    a.catalog.write.parquet(f"{tmp_path}/b/catalog")
-    a.blocks.withColumn("payload", F.substring("payload", 1, 9)).write.parquet(f"{tmp_path}/b/blocks")
-    row = spoiled.verify().first()
+    a = Archive.of(files)
+    row = Archive(a.catalog, a.blocks.withColumn("payload", F.substring("payload", 1, 9))).verify().first()
     assert not row["ok"] and "block 0" in row["error"]
+    files = table_files(spark.createDataFrame([(0, "x y z " * 900)], "id long, text string"), "id", "text", "f")
+    a = Archive.of(files, Parameters(block_size=1000))
+    row = Archive(a.catalog, a.blocks.filter("block_no != 2")).verify().first()
+    assert not row["ok"] and "not the next block" in row["error"]
 
 
 def test_scan_files(spark, tmp_path):
@@ -88,8 +175,12 @@ def test_scan_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"hi")
     got = scan_files(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.bin")]).orderBy("file_no").collect()
     assert [(r["file_no"], r["file_name"], bytes(r["content"])) for r in got] == [(0, "a.txt", b"hi"), (1, "b.bin", b"\x00\xff")]
+    again = scan_files(spark, [str(tmp_path / n) for n in ("b.bin", "a.txt", "b.bin")]).orderBy("file_no").collect()
+    assert [(r["file_no"], r["file_name"]) for r in again] == [(0, "b.bin"), (1, "a.txt"), (2, "b.bin")]
     with pytest.raises(ValueError):
         scan_files(spark, [])
+    with pytest.raises(AnalysisException):
+        scan_files(spark, [str(tmp_path / "none")])
 
 
 def test_scalars(spark):
