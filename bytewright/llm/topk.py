@@ -1,19 +1,21 @@
 """Exact top-k by inner product: vectors by descending length, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
-1. Vectors are dealt into strips by range of length, longest first. A rotation by the eigenvectors of their Gram matrix
-   (a sum of d x d numbers) moves most of every inner product into the first coordinates.
+1. Vectors are dealt into strips by range of length, longest first, and stay there. A rotation by the eigenvectors of their Gram
+   matrix (a sum of d x d numbers) moves most of every inner product into the first coordinates.
 2. Every query gets a first lower bound of its k-th score from the ``SEEDS`` longest vectors.
-3. A query block meets a strip only if length times length can reach the block's least bound; strips go by descending
-   length, so these are the first ones. Within a strip vectors stream by in descending length. The product of the first
-   ``HEAD`` rotated coordinates plus the product of the residual lengths bounds the score; survivors get their exact
-   integer product, and raise the bound. A strip is left once length times length is too little.
+3. A query goes to a strip only if length times length can reach its bound; strips go by descending length, so these are the first
+   ones. A strip's vectors meet its queries in blocks, in descending length. The product of the first ``HEAD`` rotated coordinates
+   plus the product of the residual lengths bounds the score; survivors get their exact integer product, and raise the
+   bound. A strip is left once length times length is too little.
 4. Each strip yields at most k rows a query; the best k of these stay.
 
-Queries meet vectors in blocks; no task holds more than one query block, its best rows and one Arrow batch.
+What moves are queries, not vectors: each goes to ``n / STRIP`` strips at most. No task holds more than one strip, one block of queries
+and their best rows.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; rows that
-repeat an id count once, by their smallest vector; shorter vectors count as ended by zeros; ties go to the smaller id; an
-empty table gives an empty result; extra columns are ignored.
+repeat an id count once, by their smallest vector; vectors of any number of components are compared, shorter ones as ended by zeros, and empty
+ones score 0; ties go to the smaller id; a scaled component or a score that doesn't fit 64 bits is an error; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +29,21 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SEEDS, HEAD, QUERIES, STRIP = 4096, 16, 1024, 16384
+SEEDS, HEAD, QUERIES = 4096, 16, 1024
+#: Vectors of a strip at most, on average, and at least where that gives all cores work.
+STRIP, LEAST = 65536, 2048
 #: Beyond this many components' product sums, scores are computed in Python integers.
 EXACT = 1 << 62
 
 
 def integers(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    """The components' ``floor(scale * x)``; one that doesn't fit 64 bits is an error, so that none is cut off silently."""
+
+    def whole(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(y) < float(1 << 63), F.floor(y)).otherwise(F.raise_error(F.concat(F.lit("scaled component beyond 64 bits: "), y.cast("string"))).cast("bigint"))
+
+    return F.transform(vector, whole)
 
 
 def usable(vector: Column) -> Column:
@@ -53,11 +63,11 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row inner products, exact."""
+    """Row by row inner products, exact; OverflowError for one beyond 64 bits."""
     big = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, x.shape[1])
     if big < EXACT:
         return (x * y).sum(1)
-    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(p, q, strict=True)), -(1 << 63)), (1 << 63) - 1) for p, q in zip(x, y, strict=True)], np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(p, q, strict=True)) for p, q in zip(x, y, strict=True)], np.int64)
 
 
 def _gram(d: int):
@@ -71,8 +81,8 @@ def _gram(d: int):
     return rows
 
 
-def _bounds(d: int, k: int, seed_ids: np.ndarray, seeds: np.ndarray):
-    """Adds to each query the k-th best score among the seeds, or the least number if there are fewer."""
+def _bounds(d: int, k: int, seed_ids: np.ndarray, seeds: np.ndarray, longest: np.ndarray):
+    """Adds to each query the k-th best score among the seeds, or the least number if there are fewer, and how many strips can reach it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = seeds.astype(float)
@@ -85,7 +95,10 @@ def _bounds(d: int, k: int, seed_ids: np.ndarray, seeds: np.ndarray):
                 if p.shape[1] >= k:
                     tau[at : at + 1024] = np.partition(p, -k, axis=1)[:, -k]
             slack = 1e-9 * np.sqrt((x.astype(float) ** 2).sum(1)) * (np.sqrt((s**2).sum(1)).max() if len(s) else 0) + 0.5
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("norm"), pa.array(tau - slack)], ["vec_id", "v", "norm", "tau"])
+            tau, norm = tau - slack, batch.column("norm").to_numpy()
+            need = np.where(norm > 0, tau / np.where(norm > 0, norm, 1), np.where(tau > 0, np.inf, -np.inf))
+            strips = np.searchsorted(-longest * (1 + 1e-9) - 1e-6, -need, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "norm")), pa.array(tau), pa.array(strips)], ["vec_id", "v", "norm", "tau", "strips"])
 
     return rows
 
@@ -93,9 +106,9 @@ def _bounds(d: int, k: int, seed_ids: np.ndarray, seeds: np.ndarray):
 class _Block:
     """A query block and its best rows so far."""
 
-    def __init__(self, batch: pa.RecordBatch | pa.Table, d: int, k: int, rotation: np.ndarray):
+    def __init__(self, batch: pa.RecordBatch, d: int, k: int, rotation: np.ndarray):
         self.ids, self.k, self.rotation = batch.column("vec_id").to_numpy(), k, rotation
-        self.x = _matrix(batch.column("v").combine_chunks() if isinstance(batch, pa.Table) else batch.column("v"), d)
+        self.x = _matrix(batch.column("v"), d)
         self.y = self.x @ rotation
         self.norm, self.tau = batch.column("norm").to_numpy(), batch.column("tau").to_numpy().copy()
         self.rest = np.sqrt((self.y[:, HEAD:] ** 2).sum(1))
@@ -133,31 +146,34 @@ class _Block:
 
 
 def _meet(d: int, k: int, rotation: np.ndarray):
-    """Rows come sorted by block and strip: the queries first, then the strip's vectors, longest first."""
+    """Rows come sorted by strip: a strip's vectors first, longest first, then its queries, of which a block at a time meets them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, block = None, [], None
+        strip, parts, ids, vectors = None, [], None, None
+
+        def met(queries: pa.RecordBatch) -> pa.RecordBatch:
+            block = _Block(queries, d, k, rotation)
+            for at in range(0, len(ids), 2048):
+                block.meet(ids[at : at + 2048], vectors[at : at + 2048])
+            return block.rows()
+
         for batch in batches:
-            qb, strip, is_vector = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("qb", "strip", "is_vector"))
-            change = np.flatnonzero((qb[1:] != qb[:-1]) | (strip[1:] != strip[:-1]) | (is_vector[1:] != is_vector[:-1])) + 1
-            edges = np.concatenate([[0], change, [batch.num_rows]])
+            key, is_query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("strip", "is_query"))
+            edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (is_query[1:] != is_query[:-1])) + 1, [batch.num_rows]])
             for s, e in zip(edges, edges[1:], strict=False):
                 if s == e:
                     continue
-                if key != (qb[s], strip[s]):
-                    if block:
-                        yield block.rows()
-                    key, queries, block = (qb[s], strip[s]), [], None
+                if strip != key[s]:
+                    strip, parts, vectors = key[s], [], None
                 part = batch.slice(s, e - s)
-                if not is_vector[s]:
-                    queries.append(part)
+                if not is_query[s]:
+                    parts.append((part.column("vec_id").to_numpy(), _matrix(part.column("v"), d)))
                     continue
-                block = block or _Block(pa.Table.from_batches(queries), d, k, rotation)
-                for at in range(0, part.num_rows, 2048):
-                    some = part.slice(at, 2048)
-                    block.meet(some.column("vec_id").to_numpy(), _matrix(some.column("v"), d))
-        if block:
-            yield block.rows()
+                if vectors is None:
+                    ids, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    parts = []
+                for at in range(0, part.num_rows, QUERIES):
+                    yield met(part.slice(at, QUERIES))
 
     return rows
 
@@ -170,8 +186,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     v = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint"), integers(F.col("embedding"), scale).alias("v"))
     v = v.groupBy("vec_id").agg(F.min("v").alias("v"))
     v = cut(v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))))
-    told = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.sum(is_query.cast("int")).alias("q")).first()
-    n, d, n_q = told["n"], max(1, told["d"] or 1), told["q"] or 0
+    told = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    n, d = told["n"], max(1, told["d"] or 1)
 
     gram = np.zeros(d * d)
     for row in v.select("v").mapInArrow(_gram(d), "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():  # d * d numbers
@@ -182,21 +198,18 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     seeds = np.zeros((len(first), d), np.int64)
     for i, row in enumerate(first):
         seeds[i, : len(row["v"])] = row["v"]
-    schema = "vec_id bigint, v array<bigint>, norm double, tau double"
-    queries = v.filter(is_query).select("vec_id", "v", "norm").mapInArrow(_bounds(d, k, np.array([r["vec_id"] for r in first], np.int64), seeds), schema)
-    blocks = max(1, -(-n_q // QUERIES))
-    queries = cut(queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")))
-
-    strips = v.repartitionByRange(max(1, -(-n // STRIP)), F.desc("norm"), F.asc("vec_id")).withColumn("strip", F.spark_partition_id())
-    strips = cut(strips)
-    # a block needs the strips whose longest vector times a query's length reaches that query's bound: the first ones
-    need = queries.groupBy("qb").agg(F.min(F.when(F.col("norm") > 0, F.col("tau") / F.col("norm")).otherwise(F.lit(float("-inf")))).alias("need"))
-    longest = strips.groupBy("strip").agg(F.max("norm").alias("longest"))
-    pairs = need.join(longest, F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("need")).select("qb", "strip")  # of blocks and strips, not of rows
-    pairs = cut(pairs)
-    sides = queries.join(pairs, "qb").select("qb", "strip", F.lit(False).alias("is_vector"), "vec_id", "v", "norm", "tau")
-    sides = sides.unionByName(strips.join(pairs, "strip").select("qb", "strip", F.lit(True).alias("is_vector"), "vec_id", "v", "norm", F.lit(None).cast("double").alias("tau")))
-    met = sides.repartition("qb", "strip").sortWithinPartitions("qb", "strip", "is_vector", F.desc("norm"), "vec_id")
+
+    cores = v.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // STRIP), min(-(-n // LEAST), cores))
+    strips = cut(v.repartitionByRange(parts, F.desc("norm"), F.asc("vec_id")).withColumn("strip", F.spark_partition_id()))
+    tops = {r["strip"]: r["top"] for r in strips.groupBy("strip").agg(F.max("norm").alias("top")).collect()}  # a number a strip: n / STRIP
+    tops = [tops.get(i, 0.0) for i in range(max(tops, default=-1) + 1)]
+    longest = np.maximum.accumulate(np.array(tops, float)[::-1])[::-1]  # an empty strip is as long as the next one
+    schema = "vec_id bigint, v array<bigint>, norm double, tau double, strips int"
+    queries = v.filter(is_query).select("vec_id", "v", "norm").mapInArrow(_bounds(d, k, np.array([r["vec_id"] for r in first], np.int64), seeds, longest), schema)
+    sent = queries.filter("strips > 0").withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).drop("strips").withColumn("is_query", F.lit(True))
+    held = strips.select("vec_id", "v", "norm", F.lit(None).cast("double").alias("tau"), "strip", F.lit(False).alias("is_query"))
+    met = held.unionByName(sent).repartition("strip").sortWithinPartitions("strip", "is_query", F.desc("norm"), "vec_id")
     found = met.mapInArrow(_meet(d, k, rotation), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
