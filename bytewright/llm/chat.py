@@ -5,12 +5,13 @@ their texts set apart by ``<|more|>``. Roles and texts are escaped: a backslash
 character of every control string, so that no control string is left in them and taking away one backslash before each
 character undoes it.
 
-The formatted text is kept as segments with a loss flag each: those with the assistant's texts, and nothing between them,
-are under the mask. One shuffle by conversation; a conversation is one row, as its formatted text is.
+Beside the formatted text stands its loss mask, as spans of code points: the assistant's texts, and nothing between them. What is read
+back comes from these two alone. One shuffle by conversation; a conversation is one row, as its formatted text is, and of any
+length, with work in proportion to it.
 
-Defined cases: a null text or role is as empty; turns that tie are ordered by role and text, null turns first; repeated rows
-are turns of their own; rows with a null conv_id form one conversation; an empty table gives an empty result; extra
-columns are ignored.
+Defined cases: a null text or role is as empty, and an empty assistant's text has an empty span; turns that tie are ordered by role and
+text, null turns first; repeated rows are turns of their own; rows with a null conv_id form one conversation; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running
 
 TURN, TEXT, MORE, END = "<|turn|>", "<|text|>", "<|more|>", "<|end|>"
 #: Beginnings or whole control strings of this and other templates; each gets a backslash after its first character.
@@ -38,7 +39,7 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, assistant: str = "assistant") -> DataFrame:
-    """``(conv_id, segments, formatted)``: segments are ``(text, loss)`` and ``formatted`` their concatenation."""
+    """``(conv_id, formatted, loss)``: the text, and the mask as ``(start, end)`` spans in order, the end exclusive."""
     turns = rows.select(
         "conv_id",
         F.struct(
@@ -67,8 +68,15 @@ def format_conversations(rows: DataFrame, assistant: str = "assistant") -> DataF
 
         return F.flatten(F.transform(t, parts))
 
-    out = conversations.select("conv_id", let(F.col("t"), segments).alias("segments"))
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    def output(parts: Column) -> Column:
+        def masked(starts: Column) -> Column:
+            spans = F.zip_with(parts, starts, lambda s, at: F.struct(at.alias("start"), (at + F.length(s["text"])).alias("end"), s["loss"].alias("loss")))
+            return F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))
+
+        lengths = F.transform(parts, lambda s: F.length(s["text"]).cast("bigint"))
+        return F.struct(F.array_join(F.transform(parts, lambda s: s["text"]), "").alias("formatted"), let(running(lengths), masked).alias("loss"))
+
+    return conversations.select("conv_id", let(let(F.col("t"), segments), output).alias("o")).select("conv_id", "o.*")
 
 
 def parse(formatted: Column) -> Column:
@@ -86,11 +94,15 @@ def parse(formatted: Column) -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Digests read back from ``formatted`` and ``segments``."""
+    """Digests read back from the formatted text and its mask."""
+
+    def masked(chars: Column) -> Column:
+        return F.array_join(F.transform("loss", lambda s: unescape(F.array_join(F.slice(chars, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), ""))), "")
+
     read = formatted.select(
         "conv_id",
         parse(F.col("formatted")).alias("turns"),
-        F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("loss"),
+        let(F.split("formatted", ""), masked).alias("loss"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
