@@ -1,10 +1,13 @@
 """URL filters: host and path rules first, then a weighted vocabulary by Aho-Corasick.
 
 Terms count only between boundaries (no letter or digit beside them). One strict term rejects a URL; soft terms do if at
-least two different ones are found and their weights reach ``SOFT_LIMIT``. The automaton is built once per Python worker.
+least two different ones are found and their weights reach ``SOFT_LIMIT``. The automaton is built once per Python worker. A small vocabulary
+is built in; ``vocabulary`` loads another one from a table.
 
 Narrow: no shuffle. Defined cases: a null URL or one without ``://`` has an empty host and path and fits no rule, but a
-URL without ``://`` is still searched for terms; repeated rows are judged each; an empty table gives an empty result.
+URL without ``://`` is still searched for terms; of rules that fit and are as long, the one with the longer host wins, then the later in order
+of text; a URL of any length is searched whole, at a time that grows with it and with the terms found; repeated rows are judged
+each; an empty table gives an empty result; extra columns pass through, and ``into`` must be none of them.
 """
 
 from __future__ import annotations
@@ -16,9 +19,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRICT = ("casino", "escorts", "gambling", "hentai", "phishing", "porn", "viagra", "warez", "xxx")
-SOFT = {"adult": 2, "bet": 1, "bonus": 1, "cheap": 2, "clickbait": 2, "crack": 2, "dating": 1, "farm": 1, "free": 1, "loan": 1, "pills": 2, "poker": 2, "replica": 2, "sex": 2, "spam": 2, "torrent": 2, "win": 1}
+STRICT = (
+    "bestiality", "blackjack", "bukkake", "camgirl", "camgirls", "casino", "casinos", "cialis", "creampie", "escort", "escorts", "fentanyl", "gambling", "gangbang", "hentai", "hookup", "hookups",
+    "hookers", "keygen", "malware", "milf", "milfs", "nudes", "phishing", "porn", "porno", "pornstar", "roulette", "sexcam", "sexcams", "slots", "sportsbook", "stripclub", "stripper", "viagra", "warez", "webcamsex", "xxx",
+)
+SOFT = {
+    "adult": 2, "affiliate": 1, "bet": 1, "bets": 1, "betting": 2, "bonus": 1, "casual": 1, "cheap": 2, "clickbait": 2, "coupon": 1, "coupons": 1, "crack": 2, "cracked": 2, "dating": 1, "deals": 1, "discount": 1,
+    "erotic": 2, "fake": 1, "farm": 1, "fetish": 2, "free": 1, "girls": 1, "hack": 1, "hot": 1, "jackpot": 2, "loan": 1, "loans": 1, "lottery": 2, "mature": 1, "nude": 2, "payday": 2, "pharmacy": 1, "pills": 2,
+    "poker": 2, "prize": 1, "proxy": 1, "replica": 2, "sex": 2, "sexy": 2, "singles": 1, "spam": 2, "steroids": 2, "teen": 1, "torrent": 2, "torrents": 2, "trial": 1, "unblocked": 2, "weed": 1, "win": 1, "winner": 1,
+}
 SOFT_LIMIT = 3
+#: Terms of a vocabulary at most: it is sent to every worker.
+TERMS = 200_000
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -27,14 +39,29 @@ def _automaton(strict: tuple[str, ...], soft: tuple[tuple[str, int], ...]):
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for term in strict:
-        out.add_word(term, (term, 0))
     for term, weight in soft:
         out.add_word(term, (term, weight))
+    for term in strict or ("\0",):  # an empty automaton can't be searched
+        out.add_word(term, (term, 0))
     out.make_automaton()
     return out
 
 
+def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], dict[str, int]]:
+    """Strict terms and soft ones with their weights, for ``judge``, of a table ``(term, weight)``: a null weight, or one of 0 or less, is strict.
+
+    Terms are lower-cased (A-Z); null and empty ones are left out; of repeated ones a strict row wins, then the largest weight. More than
+    ``TERMS`` terms are an error.
+    """
+    term = F.translate("term", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    weight = F.when(F.col("weight") > 0, F.col("weight").cast("int"))
+    rows = terms.select(term.alias("term"), weight.alias("weight")).filter("term <> ''")
+    rows = rows.groupBy("term").agg(F.max("weight").alias("weight"), F.bool_or(F.col("weight").isNull()).alias("strict")).limit(TERMS + 1).collect()
+    if len(rows) > TERMS:
+        raise ValueError(f"more than {TERMS} terms")
+    return tuple(sorted(r["term"] for r in rows if r["strict"])), {r["term"]: r["weight"] for r in rows if not r["strict"]}
+
+
 def vocabulary_verdict(url: str, automaton) -> str:
     """``allow`` or ``block`` by the terms in a lower-cased URL."""
     soft: dict[str, int] = {}
@@ -68,8 +95,10 @@ def best_rule(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) ->
     return max(found)[2:] if found else None
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], strict: tuple[str, ...] = STRICT, soft: dict[str, int] = SOFT) -> DataFrame:
-    """``pages`` with a struct ``judged (host, path, rule, verdict)``; rules are ``(verdict, host, path)``."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], strict: tuple[str, ...] = STRICT, soft: dict[str, int] = SOFT, into: str = "judged") -> DataFrame:
+    """``pages`` with a struct ``into`` of ``(host, path, rule, verdict)``; rules are ``(verdict, host, path)``."""
+    if into.lower() in (c.lower() for c in pages.columns):
+        raise ValueError(f"there is a column {into}")
     by_host: dict[str, list[tuple[str, str]]] = {}
     for verdict, host, path in rules:
         by_host.setdefault(host.translate(_LOWER), []).append((path, verdict))
@@ -86,7 +115,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], strict: tuple[str
                 rows.append((host, path, *(rule or (None, vocabulary_verdict((url or "").translate(_LOWER), automaton)))))
             yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
 
-    return pages.withColumn("judged", judged(pages["url"]))
+    return pages.withColumn(into, judged(pages["url"]))
 
 
 def sql(rules: list[tuple[str, str, str]]) -> str:
