@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that an operator wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def named(df: DataFrame, *used: str) -> DataFrame:
     """``df`` with its columns as ``c0, c1, ..`` and those called ``used`` (by default the documents' own) under their names too.
 

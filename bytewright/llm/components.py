@@ -1,4 +1,8 @@
-"""Connected components of a distributed edge list by alternating large and small stars."""
+"""Connected components of a distributed edge list by alternating large and small stars.
+
+Defined cases: edges with a null end take no part; repeated edges, loops and either direction make no difference; no edges, no rows; extra
+columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     All groupings are minima with map-side combining, so a node with very many neighbours costs no task its list.
     Each round is cut in the shared checkpoint folder; the rounds grow with the logarithm of the longest path.
     """
-    e = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
+    e = edges.filter("u is not null and v is not null").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
     e = cut(e.filter(F.col("a") != F.col("b")).distinct())
     state = _state(e)
     while state[0]:

@@ -11,12 +11,14 @@
    and nothing but links leaves a block. So no candidate pair of different components is left out, and no bucket is capped.
 4. Components of the confirmed links, by stars over the edge list.
 
-A link is missed only if no band matches (for similarity 0.8: 3e-6, less above) or by the posterior bound (1e-6).
+Sets are of 64-bit hashes of shingles, so two shingles of a pair may be taken as one with a chance of 1e-19 each. A link is
+missed only if no band matches (for similarity 0.8: 3e-6, less above) or by the posterior bound (1e-6).
 
 Defined cases: null or empty texts, and texts without a word, have the empty set and are linked with nothing; texts of
 fewer words than a shingle are one shingle; rows that repeat a doc_id count as one document with all their texts'
-links; rows with a null doc_id take their text's component, or null, and are kept only in the latter case; an empty table
-gives an empty result; other columns are ignored.
+links; rows with a null doc_id take their text's component, or null, and are kept only in the latter case; texts of any length are
+hashed whole; similarities that equal the threshold are links; an empty table gives an empty result; other columns are ignored, and pass
+through ``keep_one`` under any names.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, named, renamed
 from .shingles import mix as scramble
 
 LEAF, FAN = 4096, 1024
@@ -172,13 +172,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     key = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-1).cast("bigint"))
     nth = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(F.col("_source").asc_nulls_last()))
     named = docs.withColumns({"_key": key, "_hash": h, "_source": docs["source"]}).withColumn("_nth", nth)
-    return named.withColumn("_tie", F.xxhash64("_hash", "_nth")).drop("_hash", "_nth", "_source")
+    return named.withColumn("_tie", F.xxhash64("_hash", "_nth")).drop("_nth", "_source")
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, tie, size, source_size, target, copies)`` of every row of ``docs (doc_id, text, source)``."""
+    """``(doc_id, key, hash, tie, size, source_size, target, copies)`` of every row of ``docs (doc_id, text, source)``.
+
+    ``hash`` is the text's, and ``tie`` tells rows of one key and hash apart.
+    """
     sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string").alias("text"))
-    sized = cut(_rows(cut(sized)).select("doc_id", "source", "size", F.col("_key").alias("key"), F.col("_tie").alias("tie")))
+    sized = cut(_rows(cut(sized)).select("doc_id", "source", "size", F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("_tie").alias("tie")))
     aims = targets(sized)
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     leaves = F.ceil(F.col("n") / LEAF).cast("bigint")
@@ -186,7 +189,7 @@ def copies(docs: DataFrame) -> DataFrame:
     told = aims.agg(F.count("*").alias("n"), F.max("leaves").alias("leaves")).first()
     few = told["n"] <= BROADCAST_SOURCES
     joined = sized.join(F.broadcast(aims) if few else aims, sized["source"].eqNullSafe(aims["s"]))
-    joined = cut(joined.select("doc_id", "key", "tie", "size", "source_size", "target", "whole", "sid", "leaves", "p"))
+    joined = cut(joined.select("doc_id", "key", "hash", "tie", "size", "source_size", "target", "whole", "sid", "leaves", "p"))
 
     width, decided = max(1, told["leaves"] or 1), []
     level = joined.select("sid", F.pmod(F.xxhash64("key", "tie"), "leaves").alias("node"), "key", "tie", "size", "p")
@@ -200,14 +203,15 @@ def copies(docs: DataFrame) -> DataFrame:
         level = out.filter("p > 0 and p < 1").withColumn("node", F.floor(F.col("node") / FAN))
     rounded = reduce(DataFrame.unionByName, decided)
     n = F.least(F.col("whole") + F.col("p"), F.lit(MOST)).cast("bigint")
-    return joined.drop("p").join(rounded, ["key", "tie"]).select("doc_id", "key", "tie", "size", "source_size", "target", n.alias("copies"))
+    return joined.drop("p").join(rounded, ["key", "tie"]).select("doc_id", "key", "hash", "tie", "size", "source_size", "target", n.alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row as often as it is taken."""
-    taken = copies(docs).filter("copies > 0").select(F.col("key").alias("_key"), F.col("tie").alias("_tie"), "copies")
-    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], "doc_id", "text", "source")
-    h = F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")
-    keyed = _rows(named.withColumn("text", h))
-    out = keyed.join(taken, ["_key", "_tie"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """``docs`` with every row as often as it is taken. Texts are shuffled once: telling rows apart and meeting their copies go by one key."""
+    taken = copies(docs.select("doc_id", "text", "source")).filter("copies > 0").groupBy("key", "hash")
+    taken = taken.agg(F.collect_list("tie").alias("ties"), F.collect_list("copies").alias("numbers"))
+    whole = named(docs, "doc_id", "text", "source")
+    keyed = _rows(whole.withColumn("text", F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")))
+    out = keyed.join(taken, (F.col("_key") == F.col("key")) & (F.col("_hash") == F.col("hash")))
+    n = F.try_element_at("numbers", F.array_position("ties", F.col("_tie")).cast("int"))
+    return renamed(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.array_contains("ties", F.col("_tie")), n).cast("int")))), docs, "")

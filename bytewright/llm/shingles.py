@@ -1,4 +1,8 @@
-"""Word shingles of whole texts as 64-bit hashes, by vector operations over the bytes of many texts at once."""
+"""Word shingles of whole texts as 64-bit hashes, by vector operations over the bytes of many texts at once.
+
+Defined cases: null and empty texts have no words and no shingles; a text of any length is hashed whole, in steps of bounded memory, and a word
+longer than a step by its pieces; repeated shingles count once; no texts, no rows.
+"""
 
 from __future__ import annotations
 

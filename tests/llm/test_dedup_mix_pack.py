@@ -311,7 +311,7 @@ def test_packing(docs):
     assert all(len(r["ids"]) == r["length"] for r in got)
 
 
-ODD = ["a", "Zé", "é", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "'s", "'", "12", "²", "_", "-", ".", "<|endoftext|>", "<|", ",", "?)", "|>", "endoftext", "\r", "漢", "e\u0301", "\u200d", "😀", " the", " of"]
+ODD = ["a", "Zé", "ǅ", "ß", "×", "ª", "\n\n", "#", "naïve", "Ġ", "é", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "'s", "'", "12", "²", "_", "-", ".", "<|endoftext|>", "<|", ",", "?)", "|>", "endoftext", "\r", "漢", "e\u0301", "\u200d", "😀", " the", " of"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -425,18 +425,58 @@ def test_periods():
 
 
 def test_pipeline(spark):
+    """Every stage over all documents of sf0.001, against SQL or brute force."""
+    import duckdb
+    from test_quality_lines_secrets import brute_long_lines
+
+    from bytewright.llm import line_dedup, quality
+
     sf_dir = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for name in ("documents", "labels"):
+        c.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, kept = docs.columns, [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir).persist()
-        assert docs.columns == columns
-        kept.append(docs.count())
-    assert 0 < kept[1] < kept[0] and kept[2] == kept[1] and 0 < kept[3] < kept[2] and kept[4] > kept[3]
-    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    got = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    want = Counter(i for i, t in rows for _ in range(-(-len(reference_ids(t)) // 1024)))
+    columns, source = docs.columns, {r["doc_id"]: r["source"] for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    good = stages["quality rules"](spark, docs, sf_dir).persist()
+    assert good.columns == columns and sorted(texts(good)) == [r[0] for r in c.execute(f"select doc_id from ({quality.SQL}) where kept order by 1").fetchall()]
+    lines = stages["line dedup"](spark, good, sf_dir).persist()
+    assert lines.columns == columns and texts(lines) == brute_long_lines(list(texts(good).items()), line_dedup.LONG)
+    assert all(r["n_chars"] == len(r["text"]) for r in lines.collect())
+    near = stages["MinHash near-dedup"](spark, lines, sf_dir).persist()
+    groups = brute_components(list(texts(lines).items()), 5)
+    assert near.columns == columns and sorted(texts(near)) == sorted(i for i, g in groups.items() if i == g) and 0 < near.count() < good.count()
+    mixed = stages["mixing sources to target weights"](spark, near, sf_dir).persist()
+    assert mixed.columns == columns
+    sizes, most, taken = Counter(), Counter(), Counter()
+    for i, t in texts(near).items():
+        sizes[source[i]] += len(WORD.findall(t))
+        most[source[i]] = max(most[source[i]], len(WORD.findall(t)))
+    for r in mixed.collect():
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    assert all(abs(taken[s] - t) <= most[s] for s, t in brute_targets(sizes).items())
+    got = stages["best-fit packing"](spark, mixed, sf_dir).collect()
+    want = Counter(r["doc_id"] for r in mixed.collect() for _ in range(-(-len(reference_ids(r["text"])) // 1024)))
     assert Counter(r["doc_id"] for r in got) == want
-    groups = brute_components([r for r in dict(rows).items() if len(r[1]) > 40][:60], 5)
-    assert len(groups) == len(set(groups.values()))
-    assert corpus_pipeline.run(spark, sf_dir).count() == len(got)
+    run = corpus_pipeline.run(spark, sf_dir).collect()
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, run)) == sorted(map(key, got))
+
+
+def test_pipeline_odd_tables(spark, docs, tmp_path):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice(["the", "of", "and", "to", "in", "house", "water", "green", f"w{rng.randrange(99)}"]) for _ in range(120))
+    one = prose()
+    rows = [(1, one), (1, one), (2, one), (3, None), (None, prose()), (None, None), (4, ""), (5, prose(), None), (6, prose(), "é")]
+    for name, table in (("odd", docs(*rows).withColumns({"a.b": F.lit(1), "c0": F.lit(None).cast("string"), "gone": F.lit(2)})), ("none", docs((1, "x")).filter("false"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        held = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            held = stage(spark, held, f"{tmp_path}/{name}")
+            assert held.columns == table.columns
+            held.count()
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r["doc_id"] for r in out} <= {1, 5, 6, None} and bool(out) == (name == "odd")
