@@ -1,12 +1,18 @@
-"""A corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""A corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Defined cases are those of the operators: null and empty texts fail the quality rules; rows that repeat an id stay apart until near-dedup, which
+keeps or drops all rows of an id; extra columns pass through all stages but the last; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewright.llm import line_dedup, minhash, mixing, packing, quality
-from bytewright.llm.common import cut, table
+from bytewright.llm.common import WORD, discard, shared_folder, table
 from bytewright.llm.queries import tokenizer_path
 
 
@@ -16,8 +22,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("n_removed")
+    """Later repeated runs of lines go, and documents of which no word is left with them; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    removed = out.columns[-1]
+    out = out.filter((F.col(removed) == 0) | F.col("text").rlike(WORD)).drop(removed)
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
@@ -48,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's rows kept in the shared checkpoint folder for the next."""
+    """All stages over ``documents``. What a stage keeps is written to the shared checkpoint folder, and removed once the next stage is written;
+    the last stage reads its input when its rows are asked for, so that one stays."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            discard(spark, f"{folder}/{n - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
