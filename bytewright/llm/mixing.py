@@ -10,8 +10,9 @@ all documents is many leaves; each leaf, its large documents first, leaves one o
 and so on; only these are shuffled again. All random numbers are hashes of ids, so reruns agree.
 
 Defined cases: null or empty texts have size 0 and are taken as often as their whole part says, and once more by a hash with
-the fraction as its probability; a null source comes last; repeated rows are documents of their own; an empty table
-gives an empty result; extra columns pass through ``mix``.
+the fraction as its probability; a null source comes last; texts of any length are counted whole; documents that tie in
+size go by id and hash; repeated rows are documents of their own; an empty table gives an empty result; extra columns pass through
+``mix`` under any names.
 """
 
 from __future__ import annotations
