@@ -331,7 +331,7 @@ def dos_time_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("event_id", "packed", "f.year", "f.month", "f.day", "f.hour", "f.minute", "f.second", S.timestamp_text(F.col("ts")).alias("txt"))
 
 
-@query("select page_id, regexp_extract(url, '([^/\\\\]*)$', 1) as file_name, regexp_extract(url, '^(.*[/\\\\])?[^/\\\\]*$', 1) as dir, upper(trim(url)) as upper_url, page_id % 2 = 1 as flag, "
+@query("select page_id, regexp_extract(url, '([^/\\\\]*)$', 1) as file_name, regexp_extract(url, '^(.*[/\\\\])?[^/\\\\]*$', 1) as dir, upper(trim(url)) as upper_url, page_id % 2 = 1 as flag, (page_id % 2 = 1)::varchar as flag_text, "
        "(case when page_id & 1 > 0 then 'r' else '-' end) || (case when page_id & 2 > 0 then 'h' else '-' end) || (case when page_id & 4 > 0 then 's' else '-' end) || "
        "(case when page_id & 8 > 0 then 'v' else '-' end) || (case when page_id & 16 > 0 then 'd' else '-' end) || (case when page_id & 32 > 0 then 'a' else '-' end) as attrs, "
        "page_id & 16 > 0 as is_dir, case page_id % 3 when 0 then 'No more files in archive' when 1 then 'Not enough memory' else 'Unknown error code (9)' end as message from pages")
@@ -340,7 +340,7 @@ def path_and_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     url, n = F.col("url"), F.col("page_id")
     code = F.when(n % 3 == 0, 10).when(n % 3 == 1, 11).otherwise(9)
     return p.select(
-        "page_id", S.file_name(url).alias("file_name"), S.directory(url).alias("dir"), S.trim_upper(url).alias("upper_url"), S.parse_bool(F.when(n % 2 == 1, "Yes").otherwise("no")).alias("flag"),
+        "page_id", S.file_name(url).alias("file_name"), S.directory(url).alias("dir"), S.trim_upper(url).alias("upper_url"), S.parse_bool(F.when(n % 2 == 1, "Yes").otherwise("no")).alias("flag"), S.bool_text(n % 2 == 1).alias("flag_text"),
         S.attribute_flags(n).alias("attrs"), S.is_directory(n).alias("is_dir"), S.error_message(code).alias("message"),
     )
 
