@@ -34,14 +34,19 @@ from pyspark.sql import types as T
 from .common import cut
 
 CAPACITY, END = 1024, 2
-#: Pieces of one length that are ranked together, on average: a length has as many hash buckets as it takes.
-RANKED = 1 << 16
+#: Pieces of one length that are ranked together, on average, and their least share of all: a length has as many hash buckets as it takes.
+RANKED, SHARE = 1 << 16, 1 / 1024
 #: Rows of the bucket table that are broadcast at most; beyond, it is joined by shuffle.
 BROADCAST_BUCKETS = 1 << 17
 
 
 #: Where a text may be cut: before white space behind anything that is none, and before punctuation behind a letter.
-_CUT = re.compile(r"(?<=[!-~\w])(?=[ \t\r\n])|(?<=[A-Za-z])(?=[.,;:!?)])")
+_CUT = re.compile(r"(?<=[!-~\w])(?=[ \t\r\n])|(?<=[A-Za-z])(?=[.,;:!?)#$%&*])")
+#: A part that is one word, with one white-space character before it at most. These letters are letters to every version of Unicode.
+_WORD = re.compile(r"([ \t\r\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)")
+#: A byte-level model's characters for bytes: printable ones stand for themselves, the others for 256 and on, in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Parts of so many characters at most are kept, and so many of them in each Python worker; others are encoded each time.
 PART, PARTS = 48, 400_000
 
@@ -51,8 +56,9 @@ class Encoder(dict):
 
     A byte-level pre-tokenizer splits at its fixed pattern: white space only opens a token or stands among other white space, and a
     token of letters ends at punctuation. So a token ends at every cut and the next one begins there, whatever stands on the other
-    side; merges don't cross tokens, and no special token holds a cut. So the ids of the parts are those of the whole. A
-    tokenizer of another build, for which this isn't known to hold, takes whole texts.
+    side; merges don't cross tokens, and no special token holds a cut. So the ids of the parts are those of the whole. A part that is
+    one word is one token of the pre-tokenizer, and goes to the tokenizer's model as it is. A tokenizer of another build, for
+    which this isn't known to hold, takes whole texts.
     """
 
     def __init__(self, path: str):
@@ -60,6 +66,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         told = json.loads(self.tokenizer.to_str())
         first = told["pre_tokenizer"] or {}
         plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not told["normalizer"]
@@ -67,7 +74,13 @@ class Encoder(dict):
         self.by_parts = bool(plain and apart and told["model"].get("type") == "BPE")
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        word = _WORD.fullmatch(part) if self.by_parts else None
+        if word and word[1] not in ("", " "):
+            ids = self[word[1]] + self[word[2]]
+        elif word:
+            ids = np.array([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_SPELLED))], "<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         if len(part) <= PART:
             if len(self) >= PARTS:
                 self.clear()
@@ -176,7 +189,9 @@ def pack(pieced: DataFrame, capacity: int = CAPACITY, **limits) -> DataFrame:
     counts = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count("*").alias("n")).collect()}  # fewer than ``capacity`` rows
     if not counts:
         return full
-    buckets = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for k, n in counts.items() for x in (k, -(-n // RANKED))]), F.col("length"))
+    together = max(1, min(RANKED, int(SHARE * sum(counts.values()))))
+    dealt = {k: -(-n // together) for k, n in counts.items()}
+    buckets = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for k, n in dealt.items() for x in (k, n)]), F.col("length"))
     short = short.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets))
     sizes = short.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -198,7 +213,7 @@ def pack(pieced: DataFrame, capacity: int = CAPACITY, **limits) -> DataFrame:
             names = [c for c in batch.schema.names if c != "_rank"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    few = sum(-(-n // RANKED) for n in counts.values()) <= BROADCAST_BUCKETS
+    few = sum(dealt.values()) <= BROADCAST_BUCKETS
     inside = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = short.withColumn("_in", inside).join(F.broadcast(starts) if few else starts, ["length", "_bucket"])
     ranked = ranked.select(*pieced.columns, (F.col("_before") + F.col("_in")).cast("bigint").alias("_rank"))
