@@ -262,6 +262,11 @@ def test_mixing_is_fair(docs):
 def test_mixing_nothing(docs):
     assert mixing.copies(docs((1, "a")).filter("false")).count() == 0
     assert mixing.mix(docs((1, None), (2, ""))).count() >= 0
+    assert mixing.copies(docs((1, "w " * 500_000))).first()["size"] == 500_000
+    clash = docs((1, "a b"), (2, "c")).withColumns({"a.b": F.lit(1), "key": F.lit(2), "ties": F.lit(3), "_tie": F.lit(4), "_copy": F.lit(5), "c0": F.lit(6)})
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() >= 1
+    kept = minhash.keep_one(clash.withColumn("gone_id", F.lit(7)))
+    assert kept.columns == [*clash.columns, "gone_id"] and kept.count() == 2
 
 
 @cache
