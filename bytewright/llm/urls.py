@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRICT = (
@@ -31,7 +31,7 @@ SOFT = {
 SOFT_LIMIT = 3
 #: Terms of a vocabulary at most: it is sent to every worker.
 TERMS = 200_000
-_LOWER = {c: c + 32 for c in range(65, 91)}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @cache
@@ -53,7 +53,7 @@ def vocabulary(terms: DataFrame) -> tuple[tuple[str, ...], dict[str, int]]:
     Terms are lower-cased (A-Z); null and empty ones are left out; of repeated ones a strict row wins, then the largest weight. More than
     ``TERMS`` terms are an error.
     """
-    term = F.translate("term", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    term = F.translate("term", UPPER, UPPER.lower())
     weight = F.when(F.col("weight") > 0, F.col("weight").cast("int"))
     rows = terms.select(term.alias("term"), weight.alias("weight")).filter("term <> ''")
     rows = rows.groupBy("term").agg(F.max("weight").alias("weight"), F.bool_or(F.col("weight").isNull()).alias("strict")).limit(TERMS + 1).collect()
@@ -75,15 +75,13 @@ def vocabulary_verdict(url: str, automaton) -> str:
     return "block" if len(soft) > 1 and sum(soft.values()) >= SOFT_LIMIT else "allow"
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host in lower case and path; both empty without ``://``."""
-    _, mark, rest = (url or "").partition("://")
-    if not mark:
-        return "", ""
-    end = min((i for c in "/?#" if (i := rest.find(c)) >= 0), default=len(rest))
-    tail = rest[end:]
-    stop = min((i for c in "?#" if (i := tail.find(c)) >= 0), default=len(tail))
-    return rest[:end].translate(_LOWER), tail[:stop]
+def located(url: Column) -> Column:
+    """``(host, path)`` of a URL, the host in lower case; both empty without ``://``."""
+    u = F.coalesce(url, F.lit(""))
+    rest = F.when(F.contains(u, F.lit("://")), F.substring(u, F.locate("://", u) + 3, F.length(u))).otherwise("")
+    host = F.regexp_extract(rest, "^[^/?#]*", 0)
+    path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(u)), "^[^?#]*", 0)
+    return F.struct(F.translate(host, UPPER, UPPER.lower()).alias("host"), path.alias("path"))
 
 
 def best_rule(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) -> tuple[str, str] | None:
@@ -101,21 +99,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], strict: tuple[str
         raise ValueError(f"there is a column {into}")
     by_host: dict[str, list[tuple[str, str]]] = {}
     for verdict, host, path in rules:
-        by_host.setdefault(host.translate(_LOWER), []).append((path, verdict))
+        by_host.setdefault(host.translate(str.maketrans(UPPER, UPPER.lower())), []).append((path, verdict))
     terms = tuple(sorted(soft.items()))
 
-    @F.pandas_udf("struct<host:string,path:string,rule:string,verdict:string>")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<rule:string,verdict:string>")
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         automaton = _automaton(strict, terms)
-        for urls in batches:
-            rows = []
-            for url in urls:
-                host, path = split_url(url)
-                rule = best_rule(host, path, by_host)
-                rows.append((host, path, *(rule or (None, vocabulary_verdict((url or "").translate(_LOWER), automaton)))))
-            yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
-
-    return pages.withColumn(into, judged(pages["url"]))
+        for batch in batches:
+            rows = [best_rule(host, path, by_host) or (None, vocabulary_verdict(url, automaton)) for url, host, path in zip(*batch, strict=True)]
+            yield pd.DataFrame(rows, columns=["rule", "verdict"], dtype=object)
+
+    lowered = F.translate(F.coalesce(pages["url"], F.lit("")), UPPER, UPPER.lower())
+    host, path = F.col(f"{into}.host"), F.col(f"{into}.path")
+    out = pages.withColumn(into, located(pages["url"])).withColumn(into, F.struct(host, path, judged(lowered, host, path).alias("found")))
+    return out.withColumn(into, F.struct(host, path, F.col(f"{into}.found.rule"), F.col(f"{into}.found.verdict")))
 
 
 def sql(rules: list[tuple[str, str, str]]) -> str:
