@@ -123,11 +123,14 @@ class _Block:
         if not len(go):
             return
         bound = self.y[go, :HEAD] @ y[:, :HEAD].T + self.rest[go, None] * rest[None]
-        i, j = np.nonzero(bound + slack[go, None] >= self.tau[go, None])
-        i = go[i]
-        other = self.ids[i] != ids[j]
-        i, j = i[other], j[other]
-        score = np.concatenate([_dot(self.x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+        at, j = np.nonzero(bound + slack[go, None] >= self.tau[go, None])
+        i = go[at]
+        if float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 1 << 53:  # doubles hold all sums exactly
+            score = (self.x[go].astype(float) @ x.T.astype(float))[at, j].astype(np.int64)
+        else:
+            score = np.concatenate([_dot(self.x[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+        good = (score >= self.tau[i]) & (self.ids[i] != ids[j])
+        i, j, score = i[good], j[good], score[good]
         order = np.lexsort((ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else []
@@ -209,7 +212,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     queries = v.filter(is_query).select("vec_id", "v", "norm").mapInArrow(_bounds(d, k, np.array([r["vec_id"] for r in first], np.int64), seeds, longest), schema)
     sent = queries.filter("strips > 0").withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).drop("strips").withColumn("is_query", F.lit(True))
     held = strips.select("vec_id", "v", "norm", F.lit(None).cast("double").alias("tau"), "strip", F.lit(False).alias("is_query"))
-    met = held.unionByName(sent).repartition("strip").sortWithinPartitions("strip", "is_query", F.desc("norm"), "vec_id")
+    met = held.unionByName(sent).repartition(4 * parts, "strip").sortWithinPartitions("strip", "is_query", F.desc("norm"), "vec_id")
     found = met.mapInArrow(_meet(d, k, rotation), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
