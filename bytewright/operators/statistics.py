@@ -221,7 +221,7 @@ def mixed_bits(df: DataFrame) -> DataFrame:
         cost = np.zeros(len(data))
         for order in range(4):
             context, base = doc << 24 | contexts(data, place, order), int(order == 0)
-            weight, total = _before(context << 8 | data) + base, _before(context) + 256 * base
+            weight, total = _before(context << 8 | data) + base, (_before(context) if order else place) + 256 * base
             for c in np.unique(context[total > MAX_FREQ]):
                 at = np.flatnonzero(context == c)
                 weight[at], total[at] = _halved_weights(data[at], base)

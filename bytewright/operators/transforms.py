@@ -17,8 +17,14 @@ from pyspark.sql.types import StructType
 from ..functions.bytes import byte_rows
 
 
+#: Bytes whose suffixes are sorted as they stand.
+SHORT = 2048
+
+
 def suffix_order(data: bytes) -> np.ndarray:
-    """Starts of the suffixes in order, the empty one at the end of ``data`` first, by prefix doubling."""
+    """Starts of the suffixes in order, the empty one at the end of ``data`` first: short data by plain sorting, other by prefix doubling."""
+    if len(data) <= SHORT:
+        return np.array(sorted(range(len(data) + 1), key=lambda i: data[i:]))
     x = np.append(np.frombuffer(data, np.uint8).astype(np.int64) + 1, 0)
     n, step = len(x), 1
     rank = x

@@ -28,6 +28,17 @@ def test_transforms_undo(data):
     assert transforms.unbwt(*transforms.bwt(data)) == data
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.one_of(st.binary(max_size=300), st.text(alphabet="ab", max_size=300).map(str.encode)))
+def test_both_sorts_agree(data):
+    short = transforms.suffix_order(data).tolist()
+    transforms.SHORT, held = -1, transforms.SHORT
+    try:
+        assert transforms.suffix_order(data).tolist() == short
+    finally:
+        transforms.SHORT = held
+
+
 @pytest.mark.parametrize("data", [b"a" * 65536, bytes(range(256)) * 20])
 def test_bwt_large(data):
     assert transforms.unbwt(*transforms.bwt(data)) == data
