@@ -128,9 +128,11 @@ def _windows(texts: list[bytes | None], least: int) -> tuple[np.ndarray, ...]:
     return owner, *hashes, point[starts[one]] - origin, point[ends[end - 1] + 1] - origin, one - start_word, end - one
 
 
-#: Rows of runs: ``place`` holds start and end in code points, ``words`` the first word and their number; ``owner`` and ``at`` are the
-#: document that holds the run and the run's first word there, if the group of texts has settled that.
-_ROW = "doc_id bigint, hash bigint, one bigint, two int, place bigint, words bigint, owner bigint, at bigint"
+#: Rows of runs, packed as they are most of what is shuffled: ``one`` and the upper half of ``more`` are the digest, its lower half the run's
+#: first word; ``size`` holds code points and words, ``start`` a code point. ``owner`` and ``at`` are the document that holds the run and the
+#: run's first word there, if the group of texts has settled that.
+_ROW = "doc_id bigint, hash bigint, one bigint, more bigint, size bigint, start int, owner bigint, at bigint"
+_LOW = 0xFFFFFFFF
 
 
 def _rows(least: int):
@@ -145,7 +147,7 @@ def _rows(least: int):
         # rows of the smallest id are all sent: each of them may be a repeat of a document elsewhere
         one[later] = mix(doc[later].view(_U) * _U(3) + word[later].view(_U)).view(np.int64)  # a settled row has any place in the shuffle
         back = np.lexsort((word, owner[order]))  # in the texts' order neighbours are alike, and so take less room
-        columns = [doc, h[order], one, two, (start << 32 | end)[order], word << 32 | n[order]]
+        columns = [doc, h[order], one, two.astype(np.int64) << 32 | word, ((end - start) << 32 | n)[order], start[order].astype(np.int32)]
         out = [pa.array(c[back]) for c in columns] + [pa.array(c[head][back], mask=~later[back]) for c in (doc, word)]
         return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in _ROW.split(", ")])
 
@@ -169,22 +171,22 @@ _SPAN = ["doc_id", "hash", "start", "end", "n_words", "first_doc_id"]
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins each document's repeats, of which ``found`` has ``(words, place, owner, at)`` in order, to spans."""
+    """Joins each document's repeats, of which ``found`` has ``(word, size, start, owner, at)``, to spans."""
     for batch in batches:
         found = batch.column("found")
         row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
-        words, place, owner, at = (x.to_numpy() for x in found.flatten().flatten())
-        word, n, low = words >> 32, words & 0xFFFFFFFF, 0xFFFFFFFF
+        word, size, start, owner, at = (x.to_numpy() for x in found.flatten().flatten())
+        n, end = size & _LOW, start + (size >> 32)
         shift = at - word  # the same for all runs that the owner holds side by side
         order = np.lexsort((word + n, word, shift, owner, row))
-        row, word, n, place, owner, shift = (x[order] for x in (row, word, n, place, owner, shift))
+        row, word, n, start, end, owner, shift = (x[order] for x in (row, word, n, start, end, owner, shift))
         if not len(row):
             continue
         apart = (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (shift[1:] != shift[:-1]) | (word[1:] > (word + n)[:-1])
         opens = np.flatnonzero(np.append(True, apart))
         closes = np.append(opens[1:], len(row)) - 1
         take = pa.array(row[opens])
-        numbers = [place[opens] >> 32, place[closes] & low, (word + n)[closes] - word[opens], owner[opens]]
+        numbers = [start[opens].astype(np.int64), end[closes], (word + n)[closes] - word[opens], owner[opens]]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("hash").take(take), *map(pa.array, numbers)], _SPAN)
 
 
@@ -195,11 +197,13 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("hash"), "text")
     rows = source.mapInArrow(_rows(least), _ROW)
-    first = F.first(F.struct("doc_id", "words")).over(Window.partitionBy("one", "two").orderBy("doc_id", "words"))
-    rows = rows.withColumn("first", first).withColumn("settled", F.col("owner").isNotNull())
-    at = F.when(F.col("settled"), F.col("at")).otherwise(F.shiftright("first.words", 32))
+    # the digest's second half is unpacked behind the shuffle, which goes by the first
+    rows = rows.repartition("one").withColumns({"two": F.shiftright("more", 32), "word": F.col("more").bitwiseAND(F.lit(_LOW))})
+    first = F.first(F.struct("doc_id", "word")).over(Window.partitionBy("one", "two").orderBy("doc_id", "word"))
+    rows = rows.withColumn("first", first)
+    at = F.when(F.col("owner").isNotNull(), F.col("at")).otherwise(F.col("first.word"))
     rows = rows.withColumns({"owner": F.coalesce("owner", "first.doc_id"), "at": at}).filter(F.col("owner") < F.col("doc_id"))
-    found = rows.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("words", "place", "owner", "at")).alias("found"))
+    found = rows.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("word", "size", "start", "owner", "at")).alias("found"))
     return found.mapInArrow(_spans, "doc_id bigint, hash bigint, start bigint, end bigint, n_words bigint, first_doc_id bigint")
 
 
