@@ -48,7 +48,7 @@ _WORD = re.compile(r"([ \t\r\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Parts of so many characters at most are kept, and so many of them in each Python worker; others are encoded each time.
-PART, PARTS = 48, 400_000
+PART, PARTS = 48, 1_000_000
 
 
 class Encoder(dict):
