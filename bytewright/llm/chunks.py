@@ -6,8 +6,8 @@ words may have no such word. So where ``HELD`` words repeat those up to ``PERIOD
 with the word of the least hash. Longer periods hang on the gear hash.
 
 What is compared are runs of chunks with ``MIN_WORDS`` words or more that are shortest from their first or to their last chunk; any
-longer run of chunks is covered by them. A run is its words in order, by a 96-bit digest of two polynomial hashes, wherever the chunks
-inside it end (over a trillion runs, two that differ agree with a chance of 1e-5). A run that a document of smaller id holds is a repeat. Neighbouring repeats join to a span only if one earlier
+longer run of chunks is covered by them. A run is its words in order, by a 128-bit digest of two polynomial hashes, wherever the chunks
+inside it end. A run that a document of smaller id holds is a repeat. Neighbouring repeats join to a span only if one earlier
 document holds them side by side, in the same order; so every span stands whole in one earlier document, ``first_doc_id``. Spans
 of one document overlap where different documents hold them.
 
@@ -120,7 +120,6 @@ def _windows(texts: list[bytes | None], least: int) -> tuple[np.ndarray, ...]:
     for base in _BASES:
         sums, back = _prefixes(mix(words ^ base), base)
         hashes.append(mix((sums[end] - sums[one]) * back[one] + (end - one).astype(_U)).view(np.int64))
-    hashes[1] = hashes[1].astype(np.int32)  # 96 bits in all
     point = np.append(0, np.cumsum((joined & 0xC0) != 0x80))  # code points before each byte
     owner = text[one]
     origin = point[begins[owner]]
@@ -128,10 +127,10 @@ def _windows(texts: list[bytes | None], least: int) -> tuple[np.ndarray, ...]:
     return owner, *hashes, point[starts[one]] - origin, point[ends[end - 1] + 1] - origin, one - start_word, end - one
 
 
-#: Rows of runs, packed as they are most of what is shuffled: ``one`` and the upper half of ``more`` are the digest, its lower half the run's
-#: first word; ``size`` holds code points and words, ``start`` a code point. ``owner`` and ``at`` are the document that holds the run and the
-#: run's first word there, if the group of texts has settled that.
-_ROW = "doc_id bigint, hash bigint, one bigint, more bigint, size bigint, start int, owner bigint, at bigint"
+#: Rows of runs, packed as they are most of what is shuffled: ``one`` and ``two`` are the digest; ``place`` holds the run's first code point
+#: and first word, ``size`` its code points and words. ``owner`` and ``at`` are the document that holds the run and the run's first
+#: word there, if the group of texts has settled that.
+_ROW = "doc_id bigint, hash bigint, one bigint, two bigint, place bigint, size bigint, owner bigint, at bigint"
 _LOW = 0xFFFFFFFF
 
 
@@ -147,7 +146,7 @@ def _rows(least: int):
         # rows of the smallest id are all sent: each of them may be a repeat of a document elsewhere
         one[later] = mix(doc[later].view(_U) * _U(3) + word[later].view(_U)).view(np.int64)  # a settled row has any place in the shuffle
         back = np.lexsort((word, owner[order]))  # in the texts' order neighbours are alike, and so take less room
-        columns = [doc, h[order], one, two.astype(np.int64) << 32 | word, ((end - start) << 32 | n)[order], start[order].astype(np.int32)]
+        columns = [doc, h[order], one, two, start[order] << 32 | word, ((end - start) << 32 | n)[order]]
         out = [pa.array(c[back]) for c in columns] + [pa.array(c[head][back], mask=~later[back]) for c in (doc, word)]
         return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in _ROW.split(", ")])
 
@@ -186,7 +185,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens = np.flatnonzero(np.append(True, apart))
         closes = np.append(opens[1:], len(row)) - 1
         take = pa.array(row[opens])
-        numbers = [start[opens].astype(np.int64), end[closes], (word + n)[closes] - word[opens], owner[opens]]
+        numbers = [start[opens], end[closes], (word + n)[closes] - word[opens], owner[opens]]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("hash").take(take), *map(pa.array, numbers)], _SPAN)
 
 
@@ -197,8 +196,8 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("hash"), "text")
     rows = source.mapInArrow(_rows(least), _ROW)
-    # the digest's second half is unpacked behind the shuffle, which goes by the first
-    rows = rows.repartition("one").withColumns({"two": F.shiftright("more", 32), "word": F.col("more").bitwiseAND(F.lit(_LOW))})
+    # places are unpacked behind the shuffle, which goes by the digest's first half
+    rows = rows.repartition("one").withColumns({"start": F.shiftright("place", 32), "word": F.col("place").bitwiseAND(F.lit(_LOW))})
     first = F.first(F.struct("doc_id", "word")).over(Window.partitionBy("one", "two").orderBy("doc_id", "word"))
     rows = rows.withColumn("first", first)
     at = F.when(F.col("owner").isNotNull(), F.col("at")).otherwise(F.col("first.word"))
